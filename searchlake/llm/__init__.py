@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["url_copies", "rank_fusion", "distinctive_terms", "term_counts", "bpe_corpus", "leaked_passages", "garbled_text"]
+MODULES = ["url_copies", "rank_fusion", "distinctive_terms", "term_counts", "bpe_corpus", "leaked_passages", "garbled_text", "markup_templates", "page_body"]
 
 
 def query_modules() -> list:
