@@ -107,3 +107,16 @@ def salted_join(
     right = right.withColumn(SALT, F.explode(copies))
     left = left.withColumn(SALT, salt_column(keys, heavy, salt_by, salts))
     return left.join(right, [*keys, SALT], how).drop(SALT)
+
+
+def salted_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | Column, salt_by: Sequence[str], heavy: Sequence[int], salts: int = 64) -> DataFrame:
+    """The first n rows of each key in an order; heavy keys are first cut to n rows a salt. n may differ by key."""
+    from pyspark.sql import Window
+
+    def first(frame: DataFrame, by: Sequence[str]) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return frame.withColumn("__place", place).where(F.col("__place") <= n).drop("__place")
+
+    if heavy:
+        df = first(df.withColumn(SALT, salt_column(keys, heavy, salt_by, salts)), [*keys, SALT]).drop(SALT)
+    return first(df, keys)

@@ -92,3 +92,10 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(per_core * cores)
+
+
+def save_path_of(spark: SparkSession, label: str, lines: list[str]) -> str:
+    """A path in the shared folder with the given lines of text."""
+    path = scratch_path(spark, label)
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
