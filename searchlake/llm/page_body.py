@@ -155,7 +155,7 @@ FURNITURE = {
     ),
     "button": regex.compile(rf"(?:^|(?<=[.!?;…–|]\s))(?:{_BUTTON})\s*(?:$|\|)"),
     "legal": regex.compile(r"©|\bCopyright\b|\(c\) \d{4}|\b[Aa]ll rights reserved\b|\b[Tt]ous droits réservés\b|\bAlle Rechte vorbehalten\b|\b[Tt]odos los derechos reservados\b|\bAll content on this (?:web)?site belongs to\b"),
-    "advert": regex.compile(r"\bADVERTISEMENT\b|(?:^|(?<=[.!?…]\s))(?:Advertisement|Sponsored content|Sponsored|Anzeige|Publicité|Publicidad)\s*$|^(?:Advertisement|Sponsored content|Anzeige|Publicité|Publicidad)\s+\p{Lu}|(?:^|(?<=[.!?…]\s))Ad · "),
+    "advert": regex.compile(r"\bADVERTISEMENT\b|(?:^|(?<=[.!?…]\s))(?:Advertisement|Sponsored content|Sponsored|Anzeige|Publicité|Publicidad)\s*$|^(?:Advertisement|Sponsored content|Anzeige|Publicité|Publicidad)\s+(?=[\p{Lu}\d“¿¡«.])|(?:^|(?<=[.!?…]\s))Ad · "),
     "subscribe": regex.compile(
         r"\b[Ss]ubscribe to our\b|\bJoin [\d,.]+ readers\b|\bsign up free\b|\bCreate an account to read on\b|(?:^|(?<=[.!?…]\s))Get \p{Lu}[^.]* by mail every\b|\b(?:Newsletter|Rundbrief|kostenlos) abonnieren\b|\b[Jj]etzt [^.]{0,40}abonnieren\b|\bAbonnez-vous\b|\bSuscríbete\b|\bSubscribe (?:now|today)\b",
     ),
