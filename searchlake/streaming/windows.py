@@ -48,8 +48,8 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, within: str) -> Data
 def polite_visits(stream: DataFrame, host: str, ts: str, gap_ms: int) -> DataFrame:
     """(host, ts_ms, ready_at_ms): each visit with the time when it may go, a host's visits being gap_ms apart.
 
-    The state of a host is the time of its last visit; it is dropped a day after. Visits come in
-    order within a batch.
+    The state of a host is the time of its last visit; it is dropped when the newest visits are a day
+    past it. Visits come in order within a batch; those later than a day are dropped.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,7 +66,8 @@ def polite_visits(stream: DataFrame, host: str, ts: str, gap_ms: int) -> DataFra
             yield pd.DataFrame({"host": [str(key[0])] * len(asked), "ts_ms": asked, "ready_at_ms": ready})
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(86_400_000)
+            state.setTimeoutTimestamp(max(int(last), state.getCurrentWatermarkMs()) + 86_400_000)
 
-    rows = stream.where(F.col(host).isNotNull() & F.col(ts).isNotNull()).select(F.col(host).cast("string").alias("host"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ts_ms"))
-    return rows.groupBy("host").applyInPandasWithState(decide, "host string, ts_ms long, ready_at_ms long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.where(F.col(host).isNotNull() & F.col(ts).isNotNull()).select(F.col(host).cast("string").alias("host"), F.col(ts).cast("timestamp").alias("at")).withWatermark("at", "1 day")
+    rows = rows.withColumn("ts_ms", F.unix_millis("at"))
+    return rows.groupBy("host").applyInPandasWithState(decide, "host string, ts_ms long, ready_at_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
