@@ -109,6 +109,7 @@ def layout(blocks: list[Block]) -> str:
     rows: list[list[str]] = []
 
     def close() -> None:
+        rows[:] = [[x.rstrip() for x in r] for r in rows]
         widths = [max((len(r[c]) for r in rows if c < len(r)), default=0) for c in range(max(map(len, rows), default=0))]
         lines.extend("  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows if r)
         rows.clear()
@@ -117,14 +118,14 @@ def layout(blocks: list[Block]) -> str:
         if b.mark in ("table", "row", "cell"):
             if b.mark != "cell" or not rows:
                 rows.append([])
-            rows[-1].append(b.text.strip())
+            rows[-1].append(b.text.lstrip())
         elif not b.mark and rows:
             rows[-1][-1] += b.text
         elif not b.mark and lines:
             lines[-1] += b.text
         else:
             close()
-            lines.append(("- " if b.mark == "item" else "") + b.text.strip())
+            lines.append(("- " if b.mark == "item" else "") + b.text.lstrip())
     close()
     return "\n".join(x.rstrip() for x in lines)
 
