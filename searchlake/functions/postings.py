@@ -14,7 +14,7 @@ TF_PATTERN = r"\|\s*tf\s*=\s*(\d+)"
 
 def posting_texts(value: Column) -> Column:
     """The postings of a cell as an array of texts; null for a null or malformed cell."""
-    return F.split(F.split(value, "\t", 3).getItem(2), ",")
+    return F.split(F.get(F.split(value, "\t", 3), F.lit(2)), ",")
 
 
 def posting_count(value: Column) -> Column:
