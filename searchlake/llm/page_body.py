@@ -64,7 +64,10 @@ class Renderer(HTMLParser):
             self.open.pop()
         at = {k: v or "" for k, v in attrs}
         if tag in BLOCKS or tag == "br":
+            begins_row = self.mark in ("row", "table")
             self.mark = {"li": "item", "td": "cell", "th": "cell", "tr": "row", "table": "table"}.get(tag, "block")
+            if self.mark == "cell" and begins_row:
+                self.mark = "row"
         if tag in VOID:
             return
         hidden = tag in HIDDEN or "hidden" in at or bool(regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), regex.I))
