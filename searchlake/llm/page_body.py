@@ -179,6 +179,8 @@ TITLE = {
     "page": regex.compile(r"\bPage \d+ of \d+\b|\bSeite \d+ von \d+\b"),
     "address": regex.compile(r"@\s*(?:[\w-]+\.)+[a-z]{2,}\s*$|[|·–—-]\s*(?:www\.)?[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|org|net)\s*$"),
 }
+#: The name of a site whose url isn't known: a name and a usual second word (fixed values).
+_SITE = r"\p{Lu}\p{L}+\s(?:Review|Hub|Wiki|Online|Atlas|Gazette|Labs|Museum|Forum|Daily|Notes|Archive|Press|Times|Journal|Portal|Magazine)"
 _EDGE = r"\s*(?:\||·|•|–|—|-|::|:|«|»|@|/|>|,)\s*"
 
 
@@ -198,7 +200,7 @@ def title_is_dressed(title: str, label: str | None) -> str | None:
         name = rf"{regex.escape(label)}(?:\s\p{{Lu}}\p{{L}}*){{0,3}}"
         if regex.search(rf"^{name}{_EDGE}\S|\S(?:\s*(?:\||·|•|–|—|::|«|»|@|/|>|,)|\s+-)\s*{name}\s*$", title, regex.I):
             return "site"
-    elif regex.search(r"\S(?:\s+(?:\||·|–|—|-|::|«)\s+)\p{Lu}\p{L}+\s(?:Review|Hub|Wiki|Online|Atlas|Gazette|Labs|Museum|Forum|Daily|Notes|Archive|Press|Times|Journal|Portal|Magazine)\s*$", title):
+    elif regex.search(rf"\S\s+(?:\||·|–|—|-|::|«)\s+{_SITE}\s*$|^{_SITE}(?:\s+(?:\||·|–|—|-|::|«|»)|:)\s+\S", title):
         return "site"
     return None
 
@@ -225,9 +227,13 @@ def judged_lines(text: str) -> list[tuple[int, str, str | None]]:
 
 
 def page_body(text: str) -> str:
-    """The own text of a page or preview, laid out."""
-    own = {line for line, _, why in judged_lines(text) if why is None}
-    return layout([b for b in render(text) if b.line in own and not b.region])
+    """The own text of a page or preview, laid out: its rendered lines outside of regions that aren't furniture."""
+    lines: list[list[Block]] = []
+    for b in render(text):
+        if b.mark or not lines:
+            lines.append([])
+        lines[-1].append(b)
+    return layout([b for line in lines if not any(b.region for b in line) and not line_furniture("".join(b.text for b in line).strip()) for b in line])
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

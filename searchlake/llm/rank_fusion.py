@@ -18,46 +18,44 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from searchlake.session import table
+from searchlake.operators.skew import heavy_key_hashes, salted_join
+from searchlake.session import materialize, table
 
 SCORES = ("total_score", "tfidf_score", "page_rank_score")
 RANGES = 256
 
 
-def _ranges(values: DataFrame, hot_rows: int) -> Column:
-    """The number of range bounds above a value; 0 outside hot groups.
+def _with_ranges(values: DataFrame, hot_rows: int) -> DataFrame:
+    """Values with `cut`, the number of range bounds above them; 0 outside hot groups.
 
-    Groups are hot from max(hot_rows, a thousandth of all rows) on, so that at most 1000 of
-    them, of RANGES bounds each, come to the driver.
+    Groups are hot from max(hot_rows, a thousandth of all rows) on: at most 1000 of them, of RANGES
+    bounds each, come to the driver, which makes the bounds the same for all tasks.
     """
     sizes = values.groupBy("grp", "dim").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
+    if total <= hot_rows:
+        return values.withColumn("cut", F.lit(0))
     hot = sizes.where(F.col("n") > max(hot_rows, total // 1000)).select("grp", "dim")
-    if total <= hot_rows or not (keys := hot.collect()):
-        return F.lit(0)
     steps = [i / RANGES for i in range(1, RANGES)]
     bounds = values.join(F.broadcast(hot), ["grp", "dim"]).groupBy("grp", "dim").agg(F.percentile_approx("score", steps, 20000).alias("bounds"))
-    column = F.lit(0)
-    for r in bounds.collect():
-        edges = F.array(*[F.lit(x) for x in sorted(set(r["bounds"]))])
-        above = F.size(F.filter(edges, lambda b: b > F.col("score")))
-        column = F.when((F.col("grp") == r["grp"]) & (F.col("dim") == r["dim"]), above).otherwise(column)
-    return column
+    fixed = values.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
+    above = F.size(F.filter("bounds", lambda b: b > F.col("score")))
+    return values.join(F.broadcast(fixed), ["grp", "dim"], "left").withColumn("cut", F.when(F.col("bounds").isNull(), 0).otherwise(above)).drop("bounds")
 
 
 def places(df: DataFrame, group: str, item: str, scores: Sequence[str] = SCORES, hot_rows: int = 2_000_000) -> DataFrame:
     """(grp, item, place_<score>...): one more than the number of rows of the group with a higher score."""
     rows = df.where(F.col(group).isNotNull() & F.col(item).isNotNull())
-    rows = rows.select(F.col(group).alias("grp"), F.col(item).alias("item"), *[F.nanvl(F.col(s).cast("double"), F.lit(None)).alias(s) for s in scores])
+    rows = rows.select(F.col(group).alias("grp"), F.col(item).alias("item"), *[(F.nanvl(F.col(s).cast("double"), F.lit(None)) + 0.0).alias(s) for s in scores])
     pairs = F.array(*[F.struct(F.lit(i).alias("dim"), F.col(s).alias("score")) for i, s in enumerate(scores)])
     long = rows.select("grp", "item", F.explode(pairs).alias("p")).select("grp", "item", "p.dim", "p.score")
     values = long.groupBy("grp", "dim", "score").agg(F.count(F.lit(1)).alias("n"))
     known = values.where("score IS NOT NULL")
-    known = known.withColumn("cut", _ranges(known, hot_rows))
+    known = _with_ranges(known, hot_rows)
     before = W.partitionBy("grp", "dim").orderBy("cut").rowsBetween(W.unboundedPreceding, -1)
     sizes = known.groupBy("grp", "dim", "cut").agg(F.sum("n").alias("m")).withColumn("shift", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
     above = W.partitionBy("grp", "dim", "cut").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
@@ -66,9 +64,11 @@ def places(df: DataFrame, group: str, item: str, scores: Sequence[str] = SCORES,
     # nulls stand behind all known scores
     last = values.groupBy("grp", "dim").agg((F.sum(F.when(F.col("score").isNotNull(), F.col("n")).otherwise(0)) + 1).alias("place"))
     placed = placed.unionByName(last.select("grp", "dim", F.lit(None).cast("double").alias("score"), "place"))
-    a, b = long.alias("a"), placed.alias("b")
-    same = (F.col("a.grp") == F.col("b.grp")) & (F.col("a.dim") == F.col("b.dim")) & F.col("a.score").eqNullSafe(F.col("b.score"))
-    found = a.join(b, same).select("a.grp", "a.item", "a.dim", "b.place")
+    # a score that many rows share is a heavy key of the join; the null one needs a name
+    name = F.coalesce(F.col("score").cast("string"), F.lit("null")).alias("key")
+    long, placed = long.select("grp", "item", "dim", name), placed.select("grp", "dim", "place", name)
+    keys = ["grp", "dim", "key"]
+    found = salted_join(long, placed, keys, ["item"], heavy_key_hashes(long, keys, 0.01))
     return found.groupBy("grp", "item").agg(*[F.max(F.when(F.col("dim") == i, F.col("place"))).alias(f"place_{s}") for i, s in enumerate(scores)])
 
 
@@ -98,7 +98,7 @@ def first_component(placed: DataFrame, columns: Sequence[str]) -> list[float]:
 
 def rank_by_component(df: DataFrame, group: str, item: str, scores: Sequence[str] = SCORES, hot_rows: int = 2_000_000) -> DataFrame:
     """(grp, item, place columns, projection, w_min, w_max): sort by projection, the lowest is the best."""
-    placed = places(df, group, item, scores, hot_rows)
+    placed = materialize(places(df, group, item, scores, hot_rows), "places")
     columns = [f"place_{s}" for s in scores]
     weights = first_component(placed, columns)
     projection = sum((F.lit(w) * F.col(c) for w, c in zip(weights, columns)), F.lit(0.0))
@@ -122,7 +122,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     ranked = rank_by_component(table(spark, folder, "search_results"), "query_id", "result_id")
     total = sum((F.col(f"place_{s}") for s in SCORES), F.lit(0))
     best = ranked.groupBy("grp").agg(F.min("projection").alias("best"))
-    near = ranked.join(best, "grp").where((F.col("w_min") <= 0) | (F.col("projection") * F.col("w_min") <= F.col("best") * F.col("w_max") * (1 + 1e-9)))
+    near = salted_join(ranked, best, ["grp"], ["item"], heavy_key_hashes(ranked, ["grp"], 0.01)).where((F.col("w_min") <= 0) | (F.col("projection") * F.col("w_min") <= F.col("best") * F.col("w_max") * (1 + 1e-9)))
     first = near.groupBy("grp").agg(F.min(F.struct(total.alias("total"), "item")).alias("f"))
     return first.select(F.col("grp").alias("query_id"), F.col("f.item").alias("result_id"))
 
