@@ -42,12 +42,12 @@ REGION_NAME = regex.compile(r"(?<![a-z])(?:nav|navbar|navigation|menu|foot|foote
 
 
 class Block:
-    """A piece of visible text: its source line, text, region, and the cell or item that it begins."""
+    """A piece of visible text: its source line, text, region, the cell or item that it begins, and if it is a link."""
 
-    __slots__ = ("line", "text", "region", "mark")
+    __slots__ = ("line", "text", "region", "mark", "link")
 
-    def __init__(self, line: int, text: str, region: str, mark: str):
-        self.line, self.text, self.region, self.mark = line, text, region, mark
+    def __init__(self, line: int, text: str, region: str, mark: str, link: bool = False):
+        self.line, self.text, self.region, self.mark, self.link = line, text, region, mark, link
 
 
 class Renderer(HTMLParser):
@@ -86,11 +86,14 @@ class Renderer(HTMLParser):
     def handle_data(self, data: str) -> None:
         _, hidden, region = self.open[-1] if self.open else ("", False, "")
         line = self.getpos()[0]
-        pre = any(name == "pre" for name, _, _ in self.open)
+        names = {name for name, _, _ in self.open}
+        pre, link = "pre" in names, "a" in names
         for k, text in enumerate(data.split("\n")):
             if not hidden and text.strip():
-                self.blocks.append(Block(line + k, text if pre else regex.sub(r"\s+", " ", text), region, self.mark if k == 0 else self.mark or "line"))
+                self.blocks.append(Block(line + k, text if pre else regex.sub(r"\s+", " ", text), region, self.mark if k == 0 else self.mark or "line", link))
                 self.mark = ""
+            elif not hidden and text and not self.mark and k == 0 and self.blocks:
+                self.blocks[-1].text += " "
             if k:
                 self.mark = self.mark or "line"
 
@@ -227,13 +230,17 @@ def judged_lines(text: str) -> list[tuple[int, str, str | None]]:
 
 
 def page_body(text: str) -> str:
-    """The own text of a page or preview, laid out: its rendered lines outside of regions that aren't furniture."""
+    """The own text of a page or preview, laid out: its rendered lines outside of regions that aren't furniture or links alone."""
     lines: list[list[Block]] = []
     for b in render(text):
         if b.mark or not lines:
             lines.append([])
         lines[-1].append(b)
-    return layout([b for line in lines if not any(b.region for b in line) and not line_furniture("".join(b.text for b in line).strip()) for b in line])
+
+    def own(line: list[Block]) -> bool:
+        return not any(b.region for b in line) and not all(b.link for b in line) and not line_furniture("".join(b.text for b in line).strip())
+
+    return layout([b for line in lines if own(line) for b in line])
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
