@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.functions import text
@@ -138,3 +138,27 @@ def export_cells(index: Index) -> DataFrame:
 def vocabulary(terms: DataFrame) -> DataFrame:
     """The terms of up to 20 letters."""
     return terms.select("term").where(F.col("term").rlike("^[a-z]{1,20}$")).distinct()
+
+
+def write_index(index: Index, path: str, buckets: int = 100) -> None:
+    """Store an index; postings and terms lie in folders by a hash of the term, so that a query reads few of them.
+
+    Buckets that are there already are replaced only as a whole: a write that was stopped can be done again.
+    """
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    for name, df in (("postings", index.postings), ("terms", index.terms)):
+        df.withColumn("bucket", bucket).repartition("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+
+
+def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 100) -> Index:
+    """A stored index, or the part of it that holds some terms; only their folders are read."""
+
+    def read(name: str) -> DataFrame:
+        df = spark.read.parquet(f"{path}/{name}")
+        if terms is not None:
+            numbers = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct()
+            df = df.where(F.col("bucket").isin([r[0] for r in numbers.collect()]) & F.col("term").isin(terms))
+        return df.drop("bucket")
+
+    return Index(read("postings"), read("terms"), spark.read.parquet(f"{path}/doc_stats"))

@@ -57,3 +57,34 @@ def drop_tables(spark: SparkSession, names: Iterable[str]) -> list[str]:
     for n in dropped:
         spark.sql(f"DROP TABLE IF EXISTS `{n}`")
     return dropped
+
+
+def list_tables(spark: SparkSession) -> list[str]:
+    """The names of all tables and views, in order."""
+    return sorted(t.name for t in spark.catalog.listTables())
+
+
+def rename_table(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a table; it must exist, and the new name be free."""
+    if not spark.catalog.tableExists(old):
+        raise KeyError(old)
+    if spark.catalog.tableExists(new):
+        raise FileExistsError(new)
+    spark.sql(f"ALTER TABLE `{old}` RENAME TO `{new}`")
+
+
+def save_as_table(df: DataFrame, name: str, bucket_by: Sequence[str] = (), buckets: int = 64) -> None:
+    """Write a table of the catalog, bucketed and sorted by columns that later joins use, so that those need no shuffle."""
+    writer = df.write.mode("overwrite")
+    (writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by) if bucket_by else writer).saveAsTable(name)
+
+
+def set_concurrency(spark: SparkSession, n: int) -> None:
+    """The number of partitions of shuffles, at least 1; adaptive execution joins small ones."""
+    spark.conf.set("spark.sql.shuffle.partitions", max(1, n))
+
+
+def show(df: DataFrame, rows: int = 100) -> str:
+    """The first rows as lines of text, or "No output"."""
+    lines_ = ["\t".join("" if v is None else str(v) for v in r) for r in df.limit(rows).collect()]
+    return "\n".join(lines_) or "No output"

@@ -55,3 +55,21 @@ def test_kv(spark, rows):
     assert [r["done"] for r in kv.compare_and_set(kv.cells(log), wishes).orderBy("row_key", "expected").collect()] == [False, True, False]
     assert rows(kv.differing_keys(log, log.where("col <> 'b'"))) == [("r1",)]
     assert rows(kv.exists(log, spark.createDataFrame([("r1",), ("no",)], "row_key string"))) == [("no", False), ("r1", True)]
+
+
+def test_catalog(spark, rows):
+    df = pairs(spark, [("a", "1"), ("b", "2")])
+    for name in ("t_one", "t_two"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    tables.save_as_table(df, "t_one", ["k"], 2)
+    assert "t_one" in tables.list_tables(spark)
+    tables.rename_table(spark, "t_one", "t_two")
+    assert rows(spark.table("t_two")) == rows(df)
+    for old, new, error in (("t_one", "x", KeyError), ("t_two", "t_two", FileExistsError)):
+        try:
+            tables.rename_table(spark, old, new)
+        except error:
+            continue
+        raise AssertionError(error)
+    assert tables.drop_tables(spark, ["t_two", "t_none"]) == ["t_two"]
+    assert tables.show(df.orderBy("k")) == "a\t1\nb\t2" and tables.show(df.limit(0)) == "No output"

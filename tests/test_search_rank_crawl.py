@@ -68,6 +68,16 @@ def test_index(spark, rows):
     assert cell == "1.09861229\t1\thttp://a.com/1|tf=2|weightedTf=2.0000|normalizedTf=1.000000|docLen=5|pos=2 5|weights=1.000 1.000"
 
 
+def test_stored_index(spark, rows, tmp_path):
+    idx = ix.build_index(spark.createDataFrame(PAGES, "page_id long, url string, html string"))
+    ix.write_index(idx, str(tmp_path / "index"), buckets=5)
+    whole = ix.read_index(spark, str(tmp_path / "index"), buckets=5)
+    assert rows(whole.terms.select("term", "df")) == rows(idx.terms.select("term", "df"))
+    part = ix.read_index(spark, str(tmp_path / "index"), ["harbour"], buckets=5)
+    assert {r["term"] for r in part.postings.collect()} == {"harbour"}
+    assert rows(se.tfidf(part, "harbour").select("url")) == rows(se.tfidf(idx, "harbour").select("url"))
+
+
 def ranks_of(spark, edges, n, nodes=None):
     links, state = pr.graph(spark.createDataFrame(edges, "src string, dst string"), nodes)
     return {r["id"]: round(r["rank"], 6) for r in pr.iterate(links, state, n).collect()}
