@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.functions.postings import index_cells
+from searchlake.llm.distinctive_terms import CELLS_SQL
 from searchlake.session import scratch_path, table
 
 
@@ -119,8 +120,6 @@ def p6_term_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_term_counts": p6_term_counts}
 
-from searchlake.llm.distinctive_terms import CELLS_SQL  # noqa: E402
-
 _COUNTS = f"""WITH {CELLS_SQL}, t AS (SELECT term, sum(tf)::bigint AS occurrences, count(*) AS pages FROM cells GROUP BY term),
     m AS (SELECT *, CASE WHEN pages <= 2 THEN 'rare' WHEN pages > 0.5 * (SELECT count(DISTINCT url) FROM cells) THEN 'common' END AS mark FROM t)"""
 
