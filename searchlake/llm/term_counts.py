@@ -1,7 +1,7 @@
 """Problem 6: occurrences and page counts of every term, kept up by signed deltas.
 
-A store in the shared folder holds a log of cell versions and a log of signed count deltas, both
-split by a hash of the term. A batch looks up only the cells that it names, turns each added,
+A store in the shared folder holds a log of cell versions and a log of signed count deltas, the
+latter split by a hash of the term. A batch looks up only the cells that it names, turns each added,
 changed or deleted cell into a difference of occurrences and pages, sums those per term and
 appends them; counts are the sums of the log. A batch is written under its own number, so that
 writing it again replaces it instead of counting twice.
@@ -44,17 +44,19 @@ class TermCountStore:
         paths = [f"{self.path}/{kind}/batch={k}" for k in range(self.batches)]
         return self.spark.read.option("basePath", f"{self.path}/{kind}").parquet(*paths)
 
-    def cells(self) -> DataFrame | None:
-        """The current cells (term, url, tf)."""
+    def cells(self, named: DataFrame | None = None) -> DataFrame | None:
+        """The current cells (term, url, tf), or those of them that a frame names."""
         log = self._log("cells")
         if log is None:
             return None
+        if named is not None:  # both sides lie by term and url, so that the grouping after it needs no shuffle
+            log = log.join(named.select("term", "url"), ["term", "url"], "left_semi")
         return log.groupBy("term", "url").agg(F.max_by(F.struct("tf"), "batch").alias("c")).select("term", "url", "c.tf").where("tf IS NOT NULL")
 
     def apply(self, batch: DataFrame, rule: Callable[[Column, Column], Column] = replace_rule) -> None:
         """Take in a batch of cells (term, url, tf), tf being null for deleted ones."""
         new = batch.where("term IS NOT NULL AND url IS NOT NULL").groupBy("term", "url").agg(F.max("tf").alias("new"))
-        old = self.cells()
+        old = self.cells(new)
         if old is None:
             both = new.withColumn("old", F.lit(None).cast("long"))
         else:
