@@ -192,14 +192,14 @@ class Repairer:
 
     def __init__(self, model: PairModel, least_gain: float = 5.0, least_utf8_gain: float = 1.5, keep: int = 200_000):
         self.model, self.least_gain, self.least_utf8_gain, self.keep = model, least_gain, least_utf8_gain, keep
-        self.gains: dict[tuple[str, str, str], list[tuple[int, float, str]]] = {}
+        self.gains: dict[tuple[str, str, str], tuple[list[int], dict[int, tuple[float, str]]]] = {}
 
-    def tried(self, piece: str, before: str, after: str) -> list[tuple[int, float, str]]:
-        """(mapping, gain, new text) of each mapping that can be undone on the piece."""
+    def tried(self, piece: str, before: str, after: str) -> tuple[list[int], dict[int, tuple[float, str]]]:
+        """The mappings that gain on a piece, and (gain, new text) of each that can be undone on it."""
         key = (piece, before, after)
         if (found := self.gains.get(key)) is None:
             base = self.model.likelihood(piece, before, after)
-            found, seen = [], {}
+            undone, seen = {}, {}
             for k, (wrong, right) in enumerate(MAPPINGS):
                 new = undo(piece, wrong, right)
                 if new is None or new == piece:
@@ -215,7 +215,8 @@ class Repairer:
                     continue  # a letter or two among others may be anything
                 if new not in seen:
                     seen[new] = self.model.likelihood(new, before, after) - base - longer
-                found.append((k, seen[new], new))
+                undone[k] = seen[new], new
+            found = [k for k, (gain, _) in undone.items() if gain > 0], undone
             if len(self.gains) >= self.keep:
                 self.gains.clear()
             self.gains[key] = found
@@ -231,37 +232,32 @@ class Repairer:
             return text, 0, set(), bool(LOST.search(text))
         done: dict[tuple[int, int], str] = {}
         mistakes: set[str] = set()
-        whole: dict[int, float] = {}
         pieces = [(m.start(), m.end()) for m in BEYOND.finditer(text)]
-        pending, at = [], 0
+        runs: list[list[tuple[tuple[int, int], dict[int, tuple[float, str]]]]] = []
+        useful: set[int] = set()  # a mapping that gains nowhere can't be the mistake
+        at = 0
         for lo, hi in segments(score):
             # pair i is the one before character i
             while at < len(pieces) and pieces[at][1] < lo:
                 at += 1
             inside = []
             while at < len(pieces) and pieces[at][0] < hi:
-                inside.append(pieces[at])
+                b, e = pieces[at]
+                gaining, undone = self.tried(text[b:e], text[b - 1 : b] or " ", text[e : e + 1] or " ")
+                useful.update(gaining)
+                inside.append(((b, e), undone))
                 at += 1
-            if not inside:
-                continue
-            sums: dict[int, float] = {}
-            options: dict[tuple[int, int], dict[int, str]] = {}
-            for b, e in inside:
-                for k, gain, new in self.tried(text[b:e], text[b - 1 : b] or " ", text[e : e + 1] or " "):
-                    sums[k] = sums.get(k, 0.0) + gain
-                    options.setdefault((b, e), {})[k] = new
-            pending.append((inside, sums, options))
-            for k, v in sums.items():
-                whole[k] = whole.get(k, 0.0) + v
-        for inside, sums, options in pending:
-            best = max(sums, key=lambda k: sums[k] + 0.2 * max(0.0, whole[k]), default=None)
-            if best is None:
-                continue
+            if inside:
+                runs.append(inside)
+        sums = [{k: sum(undone[k][0] for _, undone in inside if k in undone) for k in useful} for inside in runs] if useful else []
+        whole = {k: sum(s[k] for s in sums) for k in useful}
+        for inside, gained in zip(runs, sums):
+            best = max(gained, key=lambda k: gained[k] + 0.2 * max(0.0, whole[k]))
             least = self.least_utf8_gain if MAPPINGS[best][1] == "utf-8" else self.least_gain
-            if sums[best] >= least or (sums[best] > 0 and whole[best] >= 2 * least):
-                for span in inside:
-                    if (new := options.get(span, {}).get(best)) is not None:
-                        done[span] = new
+            if gained[best] >= least or (gained[best] > 0 and whole[best] >= 2 * least):
+                for span, undone in inside:
+                    if best in undone:
+                        done[span] = undone[best][1]
                 mistakes.add(f"{MAPPINGS[best][1]} as {MAPPINGS[best][0]}")
         out, last = [], 0
         for (b, e), new in sorted(done.items()):
