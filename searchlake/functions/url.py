@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/:?]+)(:[0-9]+)?([^?]*)(\?.*)?$"
 HREF = r"""(?is)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+HREF_ATTRIBUTE = r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
 #: Endings of links that aren't followed (fixed values).
 SKIPPED = (".jpg", ".jpeg", ".gif", ".png", ".txt")
@@ -49,11 +50,9 @@ def extract_anchors(html: Column) -> Column:
     """(href, text) of each closed anchor; the text without tags, spaces collapsed."""
     attributes = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
     bodies = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))
-    href = r"""(?is)\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-
     def pair(p: Column) -> Column:
         text = F.trim(F.regexp_replace(F.regexp_replace(p["1"], "(?s)<[^>]*>", " "), r"\s+", " "))
-        return F.struct(F.regexp_replace(F.regexp_extract(p["0"], href, 1), "^[\"']|[\"']$", "").alias("href"), text.alias("text"))
+        return F.struct(F.regexp_replace(F.regexp_extract(p["0"], HREF_ATTRIBUTE, 1), "^[\"']|[\"']$", "").alias("href"), text.alias("text"))
 
     return F.filter(F.transform(F.arrays_zip(attributes.alias("0"), bodies.alias("1")), pair), lambda a: a["href"] != "")
 

@@ -143,6 +143,8 @@ QUERIES = {f.__name__: f for f in (
 
 _HREFS = f"list_transform(regexp_extract_all(html, '{urls.HREF.replace(chr(39), chr(39) * 2)}', 1), lambda h: regexp_replace(h, '^[\"'']|[\"'']$', '', 'g'))"
 
+_ATTRIBUTE = urls.HREF_ATTRIBUTE.replace(chr(39), chr(39) * 2)
+
 
 def canonical_sql(u: str) -> str:
     def part(g: int) -> str:
@@ -200,6 +202,14 @@ SQL = {
     "link_edges_absolute": f"WITH {DOCS} SELECT DISTINCT url, {canonical_sql('h')} AS dst FROM (SELECT url, unnest({_HREFS}) AS h FROM docs WHERE length(html) <= 750000) WHERE regexp_matches(h, '^https?://')",
     "canonical_urls": f"""SELECT page_id, {canonical_sql('url')} AS canonical, lower(nullif(regexp_extract(url, '{urls.PARTS}', 2), '')) AS host,
         CASE WHEN regexp_extract(split_part(url, '#', 1), '{urls.PARTS}', 4) = '' THEN '/' ELSE regexp_extract(split_part(url, '#', 1), '{urls.PARTS}', 4) END AS path FROM pages""",
+    "link_edges": f"""WITH {DOCS}, h AS (SELECT DISTINCT {canonical_sql('url')} AS src, trim(split_part(h, '#', 1)) AS h FROM (SELECT url, unnest({_HREFS}) AS h FROM docs WHERE length(html) <= 750000)),
+        f AS (SELECT src, CASE WHEN regexp_matches(h, '(?i)^https?://') THEN h WHEN starts_with(h, '//') THEN split_part(src, '//', 1) || h
+            WHEN starts_with(h, '/') THEN regexp_extract(src, '^[a-z]+://[^/]+') || h END AS u FROM h WHERE src IS NOT NULL)
+        SELECT DISTINCT src, {canonical_sql('u')} AS dst FROM f WHERE u IS NOT NULL AND NOT regexp_matches(lower(split_part(u, '?', 1)), '\\.(jpg|jpeg|gif|png|txt)$')""",
+    "anchor_texts": f"""WITH {DOCS}, a AS (SELECT url, unnest(list_zip(regexp_extract_all(html, '{urls.ANCHOR}', 1), regexp_extract_all(html, '{urls.ANCHOR}', 2))) AS z FROM docs),
+        t AS (SELECT url, regexp_replace(regexp_extract(z[1], '{_ATTRIBUTE}', 1), '^["'']|["'']$', '', 'g') AS href,
+            trim(regexp_replace(regexp_replace(z[2], '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM a)
+        SELECT * FROM t WHERE href <> ''""",
     "pagerank_k_iters": f"WITH {_rank_sql(ITERATIONS)} SELECT id, round(rank, 6) AS rank FROM r{ITERATIONS}",
     "pagerank_convergence": f"WITH {_rank_sql(ITERATIONS)} SELECT round(max(abs(rank - prev)), 6) AS max_diff, count(*) FILTER (abs(rank - prev) <= 0.01) AS converged, count(*) AS total FROM r{ITERATIONS}",
     "search_tfidf": f"{CAPPED}, {_found_sql([ONE], False, True)} SELECT url, round(tfidf, 6) AS tfidf FROM f",
