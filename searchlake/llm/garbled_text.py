@@ -212,7 +212,8 @@ class Repairer:
                 elif not piece.strip("\xa0\xad"):
                     continue  # a space or a hyphen is no letter of another encoding
                 if right in CYRILLIC and (len(piece) < 3 or not regex.search(r"\p{Cyrillic}{3}", new)):
-                    continue  # a letter or two among others may be anything
+                    undone[k] = 0.0, new  # a letter or two among others may be anything: no evidence
+                    continue
                 if new not in seen:
                     seen[new] = self.model.likelihood(new, before, after) - base - longer
                 undone[k] = seen[new], new
@@ -254,7 +255,7 @@ class Repairer:
         for inside, gained in zip(runs, sums):
             best = max(gained, key=lambda k: gained[k] + 0.2 * max(0.0, whole[k]))
             least = self.least_utf8_gain if MAPPINGS[best][1] == "utf-8" else self.least_gain
-            if gained[best] >= least or (gained[best] > 0 and whole[best] >= 2 * least):
+            if gained[best] >= least or (gained[best] >= 0 and whole[best] >= 2 * least):
                 for span, undone in inside:
                     if best in undone:
                         done[span] = undone[best][1]
