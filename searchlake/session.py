@@ -20,6 +20,7 @@ def build_session(app: str = "searchlake", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",  # very long texts make small batches
         "spark.sql.parquet.filterPushdown": "true",
     } | conf
     builder = SparkSession.builder.appName(app)
