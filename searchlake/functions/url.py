@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import unquote, urljoin, urlsplit
 
 import pandas as pd
@@ -22,14 +23,20 @@ def part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, PARTS, group)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case, an explicit port, a path, no fragment; null without scheme or host."""
-    bare = F.trim(F.substring_index(url, "#", 1))
-    scheme, host, port, path, query = (part(bare, g) for g in range(1, 6))
-    scheme = F.lower(scheme)
-    port = F.when(port != "", port).when(scheme == "https", ":443").otherwise(":80")
-    path = F.when(path == "", "/").otherwise(path)
-    return F.when(host != "", F.concat(scheme, F.lit("://"), F.lower(host), port, path, query))
+
+    def put_together(bare: Column) -> Column:
+        scheme, host, port, path, query = (part(bare, g) for g in range(1, 6))
+        given = F.when(port != "", port).when(F.lower(scheme) == "https", ":443").otherwise(":80")
+        return F.when(host != "", F.concat(F.lower(scheme), F.lit("://"), F.lower(host), given, F.when(path == "", "/").otherwise(path), query))
+
+    return bound(F.trim(F.substring_index(url, "#", 1)), put_together)
 
 
 def url_host(url: Column) -> Column:
@@ -84,12 +91,14 @@ def simple_link(base: Column, href: Column) -> Column:
 
     Null for links that it doesn't take; those go to resolve_column().
     """
-    h = F.trim(F.substring_index(href, "#", 1))
-    scheme, host, port = F.lower(part(base, 1)), part(base, 2), part(base, 3)
-    plain = ~F.contains(h, F.lit("%")) & ~F.contains(h, F.lit("/.")) & ~h.rlike(r"\s") & ~F.endswith(h, F.lit("?"))
-    full = F.when(h.rlike("(?i)^https?://"), h).when(F.startswith(h, F.lit("//")), F.concat(scheme, F.lit(":"), h)).when(F.startswith(h, F.lit("/")), F.concat(scheme, F.lit("://"), host, port, h))
-    skipped = F.lower(part(full, 4)).rlike(r"\.(jpg|jpeg|gif|png|txt)$")
-    return F.when(plain & ~skipped, canonical_url(full))
+    origin = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", 0)
+
+    def full(h: Column) -> Column:
+        plain = ~h.rlike(r"%|/\.|\s|\?$")
+        whole = F.when(h.rlike("(?i)^https?://"), h).when(F.startswith(h, F.lit("//")), F.concat(F.substring_index(base, "//", 1), h)).when(F.startswith(h, F.lit("/")), F.concat(origin, h))
+        return F.when(plain & ~F.lower(F.substring_index(h, "?", 1)).rlike(r"\.(jpg|jpeg|gif|png|txt)$"), whole)
+
+    return canonical_url(bound(F.trim(F.substring_index(href, "#", 1)), full))
 
 
 def is_trap(url: Column) -> Column:

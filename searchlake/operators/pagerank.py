@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 from searchlake.functions import url as urls
 from searchlake.operators.index import MAX_PAGE_FOR_LINKS, documents
-from searchlake.session import materialize
+from searchlake.session import materialize, spread
 
 DAMPING = 0.85
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """Distinct (src, dst) of the links of pages, resolved. Only links that no expression takes go through Python."""
-    docs = documents(pages, MAX_PAGE_FOR_LINKS)
+    docs = spread(documents(pages, MAX_PAGE_FOR_LINKS))
     links = docs.select(urls.canonical_url(F.col("url")).alias("src"), F.explode(urls.extract_hrefs(F.col("html"))).alias("href")).where("src IS NOT NULL").distinct()
-    links = links.withColumn("dst", urls.simple_link(F.col("src"), F.col("href")))
+    # written once, because the links with and without a simple form are read apart
+    links = materialize(links.withColumn("dst", urls.simple_link(F.col("src"), F.col("href"))), "links")
     rest = links.where("dst IS NULL").withColumn("dst", urls.resolve_column("src", "href"))
     return links.where("dst IS NOT NULL").unionByName(rest.where("dst IS NOT NULL")).select("src", "dst").distinct()
 
