@@ -71,6 +71,27 @@ def test_alignment_scores_edited_copies():
     assert lp.smith_waterman(np.array([-1, -1]), p)[0] == 0
 
 
+def test_edited_copies_are_aligned(spark, tmp_path):
+    p = [f"w{k}" for k in range(30)]
+    copy = [x for k, w in enumerate(p) for x in ([w, "new"] if k % 7 == 6 else [w])]
+    rare = [(200 + k, " ".join(p[k : k + 5])) for k in range(26)]  # no run has a seed that the copy alone has
+    frame = spark.createDataFrame([(1, " ".join(copy), "c", None, None), (2, "w0 w1 w2 w3 x", "c", None, None)] + [(i, t, "c", None, None) for i, t in rare], DOCS)
+    items = spark.createDataFrame([(7, " ".join(p)), (8, "w1 w2 w3 w4 w5"), (9, "w1 w2")], "item_id long, passage string")
+    found = {(r["doc_id"], r["item_id"]): (r["score"], r["longest_run"]) for r in lp.aligned_leaks(frame, items, edited=True).collect()}
+    assert found[1, 7] == (56, 7) and found[1, 8] == (10, 5)
+    assert not any(d == 2 or i == 9 for d, i in found)
+    assert {(d, i) for d, i in found if d > 2 and i == 7} == {(i, 7) for i, _ in rare}
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert (1, 7, 56) in {tuple(r)[:3] for r in lp.p9_alignments(spark, str(tmp_path)).collect()}
+
+
+def test_alignments_in_groups():
+    random.seed(9)
+    pairs = [(np.array(random.choices(range(-1, 5), k=random.randint(0, 40))), np.array(random.choices(range(5), k=random.randint(1, 20)))) for _ in range(60)]
+    assert lp.smith_waterman_many(*map(list, zip(*pairs))) == [lp.smith_waterman(*x) for x in pairs]
+
+
 CLEAN = "Le marché propose des pâtes, du thé fumé et des œufs frais. À l’été dernier, une forêt âgée a brûlé. Müde Wanderer trinken süßen Tee. Сервер ждал ответа и потом удалил старые ключи. Каждая запись хранится дважды. The café isn’t naïve — “two” of €5."
 
 
