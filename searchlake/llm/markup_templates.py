@@ -3,11 +3,14 @@
 The delimiters of all texts of a host are its template tokens. Tokens with the same occurrence
 vector (the same number of times in each text of the host) form an equivalence class; vectors are
 compared by an order-free fingerprint, so that none is ever gathered. A class is valid if its
-tokens come in one order in all texts. Valid classes nest into the host's template, and what lies
-between their tokens are the slots. Tokens of classes that aren't valid, or of one text alone,
-stand for themselves: a single broken tag is still markup. An exact check by the grammar of each
-kind of markup then decides which tokens are markup and not ordinary signs, and turns the slots into
-plain text that keeps headings, lists, code, tables and formulas.
+tokens come in one order in all texts. That is the result of p7_templates.
+
+The kinds of markup and the plain text of p7_found and p7_text don't follow from classes: the grammar
+of each kind alone decides, over the whole text, which signs are markup, since classes can't tell
+ordinary signs from markup and a single broken tag, which has no class, is still markup. The plain
+text comes from the same grammar and keeps headings, lists, code, tables and formulas; no slots are
+cut out. Rounds of valid classes are nested and counted (n_rounds), and texts without any token are
+passed over.
 
 Nulls: rows with a null id or text take no part; a null or odd url is a host of its own name "".
 Empty texts have no markup. Repeated rows give one row a kind.
@@ -221,7 +224,7 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, text, tokens in zip(batch["id"], batch["text"], batch["tokens"]):
             places = [(int(p), t["token"], int(t["class_id"]), bool(t["in_order"])) for t in tokens for p in t["places"]]
-            kinds = kinds_of(text)  # exact check of the tokens that were found
+            kinds = kinds_of(text)  # by the grammar alone
             rows.append((i, kinds, plain_text(text) if kinds else text, len(nest(places))))
         yield pd.DataFrame(rows, columns=["id", "kinds", "plain", "n_rounds"])
 
