@@ -7,7 +7,7 @@ block knows the regions that it lies in. Lines of navigation regions, and lines
 menu, promotion, sharing or legal line alone or beside own text, aren't the page's own.
 
 Nulls: a null text has no lines; a null url only means that the name of the site isn't known.
-Empty lines are no cases. Repeated rows come out once. Cut tags are no text.
+Empty lines are no cases. Repeated rows come out once. Cut tags are no text; the lines after them are.
 """
 
 from __future__ import annotations
@@ -40,6 +40,10 @@ CLOSED_BY = {
 }
 REGION_NAME = regex.compile(r"(?<![a-z])(?:nav|navbar|navigation|menu|foot|footer|sidebar|aside|breadcrumbs?|cookie|cookies|consent|banner|ads?|advert|promo|share|social|comments?|related|newsletter|legal)(?![a-z])", regex.I)
 
+#: The part of a tag before a line's end, and a tag of several lines: a bare attribute is on the line of what comes before it, a value in quotes may have more lines.
+CUT_TAG = regex.compile(r"</?[A-Za-z][^<>\n]*(?=\n)")
+LONG_TAG = regex.compile(r"""</?[A-Za-z][\w:-]*+(?:\s+[\w:@.-]++\s*=\s*(?:"[^"<>]*"|'[^'<>]*')|\s+[\w:@.-]++=[^\s"'<>=]++|[ \t]+[\w:@.-]++(?![ \t]*=))*+\s*/?>""")
+
 
 class Block:
     """A piece of visible text: its source line, text, region, the cell or item that it begins, and if it is a link."""
@@ -98,11 +102,19 @@ class Renderer(HTMLParser):
                 self.mark = self.mark or "line"
 
 
+def without_cut_tags(text: str) -> str:
+    """A text without the tags that are cut at a line's end; the parser would take all up to the next `>` for such a tag.
+
+    A tag that goes on in the next lines with attributes alone stays. All lines keep their numbers.
+    """
+    return CUT_TAG.sub(lambda m: m[0] if LONG_TAG.match(text, m.start()) else "", text)
+
+
 def render(text: str) -> list[Block]:
     """The visible blocks of a text, which may be a whole page or a cut piece of one."""
     parser = Renderer()
     try:
-        parser.feed(text)
+        parser.feed(without_cut_tags(text))
         parser.close()
     except AssertionError:  # markup that the parser gives up on is text
         return [Block(i, x, "", "line") for i, x in enumerate(text.split("\n"), 1) if x.strip()]

@@ -189,6 +189,14 @@ def test_rendering():
     assert pb.page_body(page).startswith("one") and pb.page_body("") == ""
 
 
+def test_tags_cut_at_a_lines_end_swallow_no_lines():
+    preview = 'Own text </spa\nAdvertisement\n<img src=\nAller au contenu principal\n<div id="foot">x</div>\n<a\n  class="k"\n  href="/u">link</a> <div\nid=foot hidden>no</div> <br\n/>end </p\n>z'
+    blocks = pb.render(preview)
+    assert {b.line: b.text.strip() for b in blocks} | {5: "x"} == {1: "Own text", 2: "Advertisement", 4: "Aller au contenu principal", 5: "x", 8: "link", 10: "end", 11: "z"}
+    assert [b.region for b in blocks if b.text == "x"] == ["foot"]
+    assert {line for line, _, why in pb.judged_lines(preview) if why} >= {2, 4, 5}
+
+
 def test_foreign_lines(spark, tmp_path):
     preview = "Own text about shards.\n\nHome | Blog | Help | Contact\nThe footer of a page adds little. © 2020 Viku Review\n<nav>anything</nav>\nThe crawler stores no cookies between two fetches.\nWe use cookies. Accept all\nA privacy policy for logs was drafted."
     rows = [(1, "https://www.viku.example/x", "Own title – Viku Review", preview), (2, None, None, None), (3, None, "", ""), (4, "https://www.viku.example/x", "Notes on a | notes on b", "Own."), (5, None, "Home » Topics » X", "x " * 50000), (1, "https://www.viku.example/x", "Own title – Viku Review", preview)]
