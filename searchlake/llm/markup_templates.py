@@ -39,9 +39,9 @@ TAGS = (
 #: Commands of LaTeX that need no braces to be known (fixed values).
 COMMANDS = "item alpha beta gamma delta lambda frac sum prod int sqrt cdot times le ge leq geq ne neq infty ln log text textbf textit emph cite ref label section subsection chapter footnote begin end".split()
 
-#: A delimiter of any kind, real or not.
+#: A delimiter of any kind, real or not. Every sign that the grammars below begin with is one: texts without any are passed over.
 LEXEME = regex.compile(
-    r"""<!--|-->|</?[A-Za-z][\w:-]*|/?>|&(?:\#\w+|\w+);|`+|\*+|(?<!\w)_+|_+(?!\w)|~~|~(?=\\)|(?m:^\#+)|(?m:^={2,})|={2,}(?=\s*$)|(?m:^[;:+>-]+(?=\s))|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|\|-+|\|\||\||!?\[|\]\(|\]|'{2,5}|\\[A-Za-z]+\*?|\\[\[\]()]|\$|\{|\}""",
+    r"""<!--|<!(?i:doctype)|-->|</?[A-Za-z][\w:-]*|/?>|&(?:\#\w+|\w+);|`+|\*+|(?<!\w)_+|_+(?!\w)|~~|~(?=\\)|(?m:^\#+)|(?m:^={2,})|={2,}(?=\s*$)|(?m:^[;:+>-]+(?=\s))|(?m:^[;:]+)|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|\|-+|\|\||\||!!|!?\[|\]\(|\]|'{2,5}|\\[A-Za-z]+\*?|\\[\[\]()]|\$|\{|\}""",
     regex.M,
 )
 

@@ -171,6 +171,18 @@ def results(spark, rows):
     return spark.createDataFrame([(i, 1, u, t, p, "h", 1, "t", "k") for i, u, t, p in rows], RESULTS)
 
 
+def test_marks_of_every_grammar_are_tokens(spark, tmp_path):
+    texts = [":reply", ";Term : text", "! a !! b", "a\n::reply to it", "<!DOCTYPE html", "no mark: none; at all!"]
+    results(spark, [(i, None, None, x) for i, x in enumerate(texts)]).write.parquet(f"{tmp_path}/search_results.parquet")
+    assert {tuple(r) for r in mt.p7_found(spark, str(tmp_path)).collect()} == {(0, "wiki"), (1, "wiki"), (2, "wiki"), (3, "wiki"), (4, "html")}
+    assert {r["text"] for r in mt.p7_text(spark, str(tmp_path)).where("result_id < 3").collect()} == {"[item] reply", "[item] Term : text", "[row] a ; b"}
+    random.seed(8)
+    signs = [*"<>&;:#*_`~=+-[]{}|!'\\$()/\"\n ", "a", "br", "x=", "lt", "section", "http://x", "1"]
+    for _ in range(20000):
+        text = "".join(random.choices(signs, k=random.randint(1, 8)))
+        assert not mt.kinds_of(text) or mt.LEXEME.search(text), text
+
+
 def test_markup_of_a_table(spark, tmp_path):
     rows = [(1, "https://a.example/x", None, "<b>x</b>"), (2, None, None, "**y**"), (3, "https://a.example/x", None, None), (4, "", None, ""), (1, "https://a.example/x", None, "<b>x</b>"), (5, "x", None, "word " * 20000 + "''z''")]
     results(spark, rows).write.parquet(f"{tmp_path}/search_results.parquet")
