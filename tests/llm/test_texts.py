@@ -3,6 +3,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from searchlake.llm import bpe_corpus as bpe
 from searchlake.llm import garbled_text as gt
@@ -164,6 +165,44 @@ def test_template_classes(spark):
     assert mt.nest([(0, "<a", 1, True), (9, "</a", 1, True), (3, "<b", 2, True), (5, "</b", 2, True), (8, "x", 3, True), (12, "x", 3, True)]) == [(1, 0, 9), (2, 3, 5)]
 
 
+def test_classes_decide_what_is_markup(spark, tmp_path, monkeypatch):
+    over_lines = [(f"**from here\nto there{i}** on", "https://a.example/x") for i in range(4)]
+    strays = [("**from here\nto there** on", "https://b.example/x"), ("**from here\nnowhere", "https://b.example/x"), ("a **stray and **b** too", "https://b.example/x")]
+    rows = [(i, u, None, t) for i, (t, u) in enumerate(over_lines + strays)]
+    results(spark, rows).write.parquet(f"{tmp_path}/search_results.parquet")
+    # on a, the class of both signs is valid in all four texts; on b, their vectors differ, and only partners on a line are markup
+    assert {tuple(r) for r in mt.p7_found(spark, str(tmp_path)).collect()} == {(0, "markdown"), (1, "markdown"), (2, "markdown"), (3, "markdown"), (6, "markdown")}
+    plain = {r["result_id"]: r["text"] for r in mt.p7_text(spark, str(tmp_path)).collect()}
+    assert plain[1] == "from here\nto there1 on" and plain[4] == strays[0][0] and plain[6] == "a **stray and b too"
+    real = mt.classified
+    constant = lambda texts: real(texts).withColumn("tokens", F.transform("tokens", lambda t: t.withField("faced", F.lit(False)).withField("complete", F.lit(False))))
+    monkeypatch.setattr(mt, "classified", constant)
+    assert mt.p7_found(spark, str(tmp_path)).count() == 0
+
+
+def test_templates_against_brute_force(spark, rows):
+    random.seed(10)
+    pieces = ["<b>x</b> ", "[[y]] ", "# h\n", "\n* i ", "&amp; ", "\\emph{z} ", "w "]
+    texts = [(random.choice("gh"), i, "".join(random.choices(pieces, k=random.randint(0, 6)))) for i in range(40)]
+    frame = spark.createDataFrame([*texts, texts[0]], "host string, id long, text string")
+    found = {(r["host"], r["token"]): (r["class_id"], r["in_order"]) for r in mt.token_classes(frame).collect()}
+    vectors, places = {}, {}
+    for host, i, text in texts:
+        for t in mt.lex(text):
+            vectors.setdefault((host, t.name), {}).setdefault(i, []).append(t.start)
+    assert set(found) == set(vectors)
+    for a, va in vectors.items():
+        group = [b for b, vb in vectors.items() if a[0] == b[0] and {i: len(p) for i, p in va.items()} == {i: len(p) for i, p in vb.items()}]
+        assert {b for b in found if found[b][0] == found[a][0]} == set(group)
+        orders = {tuple(n for _, n in sorted((p, b[1]) for b in group for p in vectors[b][i])) for i in va}
+        first = {o[: len(group)] for o in orders}
+        assert found[a][1] == (len(group) == 1 or (len(first) == 1 and all(o == o[: len(group)] * (len(o) // len(group)) for o in orders)))
+
+
+def test_nested_commands_of_any_depth():
+    assert mt.plain_text("\\emph{a \\textbf{b \\mbox{c \\emph{d \\text{e}}}}} f") == "a b c d e f"
+
+
 RESULTS = "result_id long, query_id long, url string, title string, preview string, host string, id long, text string, tokens string"
 
 
