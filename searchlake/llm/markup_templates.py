@@ -422,12 +422,6 @@ def nest(tokens: list[tuple[int, str, int, bool]]) -> list[tuple[int, int, int]]
     return out
 
 
-def is_markup(t: Column) -> Column:
-    """Whether a token's class makes it markup: it stands by itself, faces its partner, or its valid class holds both."""
-    spans = t["complete"] & t["in_order"] & (t["support"] >= LEAST_SUPPORT)
-    return t["partner"].isNull() | ((t["paired"] > 0) & t["faced"]) | spans
-
-
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -439,16 +433,20 @@ def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def marked_texts(texts: DataFrame) -> DataFrame:
-    """(id, kinds, valid, spanning) of texts (host, id, text) with markup: its kinds, the tokens that are markup, and those of them that are so without a partner on their line."""
-    spans = lambda t: t["complete"] & t["in_order"] & (t["support"] >= LEAST_SUPPORT)
-    valid = classified(texts).select("id", F.filter("tokens", is_markup).alias("tokens"))
-    kinds = F.array_distinct(F.filter(F.transform("tokens", lambda t: t["kind"]), lambda k: k != ""))
-    others = F.filter("kinds", lambda k: k != "bullet")
-    shown = F.arrays_overlap("kinds", F.array(F.lit("markdown"), F.lit("wiki")))
-    lone_bullets = F.array_contains("kinds", "bullet") & ~shown
-    found = valid.withColumn("kinds", kinds).where(F.size("kinds") > 0)
-    names = lambda f: F.array_distinct(F.transform(F.filter("tokens", f), lambda t: t["token"]))
-    return found.select("id", F.array_sort(F.when(lone_bullets, F.concat(others, F.array(F.lit("markdown")))).otherwise(others)).alias("kinds"), names(lambda t: F.lit(True)).alias("valid"), names(spans).alias("spanning"))
+    """(id, kinds, valid, spanning) of texts (host, id, text) with markup, one row an id.
+
+    A token is markup if it stands by itself, faces a partner of its class, or its valid class holds
+    both. `valid` names the tokens that are, `spanning` those that are so without a partner on their line.
+    """
+    t = F.col("t")
+    spans = t["complete"] & t["in_order"] & (t["support"] >= LEAST_SUPPORT)
+    each = classified(texts).select("id", F.explode("tokens").alias("t")).withColumn("spans", spans)
+    each = each.where(t["partner"].isNull() | ((t["paired"] > 0) & t["faced"]) | F.col("spans")).select("id", "t.token", "t.kind", "spans")
+    found = each.groupBy("id").agg(F.collect_set("kind").alias("kinds"), F.collect_set("token").alias("valid"), F.collect_set(F.when(F.col("spans"), F.col("token"))).alias("spanning"))
+    others = F.filter("kinds", lambda k: (k != "bullet") & (k != ""))
+    bullets = F.array_contains("kinds", "bullet") & ~F.arrays_overlap("kinds", F.array(F.lit("markdown"), F.lit("wiki")))
+    kinds = F.array_sort(F.when(bullets, F.concat(others, F.array(F.lit("markdown")))).otherwise(others))
+    return found.select("id", kinds.alias("kinds"), "valid", "spanning")
 
 
 def texts_of(df: DataFrame, id_col: str, url: str, text: str) -> DataFrame:
@@ -459,7 +457,7 @@ def texts_of(df: DataFrame, id_col: str, url: str, text: str) -> DataFrame:
 def cleaned_texts(df: DataFrame, id_col: str, url: str, text: str) -> DataFrame:
     """(id, kinds, plain) of each text with markup; others are plain already."""
     texts = texts_of(df, id_col, url, text)
-    marked = marked_texts(texts).dropDuplicates(["id"])
+    marked = marked_texts(texts).where(F.size("kinds") > 0)
     kind = dict(texts.dtypes)["id"]
     return texts.select("id", "text").join(marked, "id").mapInPandas(_extract, f"id {kind}, kinds array<string>, plain string").dropDuplicates(["id"])
 
@@ -471,7 +469,7 @@ def _previews(spark: SparkSession, folder: str) -> DataFrame:
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each preview with each kind of markup that it holds."""
     marked = marked_texts(texts_of(_previews(spark, folder), "result_id", "url", "preview"))
-    return marked.select(F.col("id").alias("result_id"), F.explode("kinds").alias("markup")).distinct()
+    return marked.select(F.col("id").alias("result_id"), F.explode("kinds").alias("markup"))
 
 
 def p7_text(spark: SparkSession, folder: str) -> DataFrame:
