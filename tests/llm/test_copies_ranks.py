@@ -149,6 +149,41 @@ def test_term_count_deltas(spark, tmp_path, rows):
     assert set(marks.values()) == {"common"}
 
 
+def test_store_survives_reopening(spark, tmp_path, rows):
+    path = f"{tmp_path}/counts"
+    frame = lambda cells, s=spark: s.createDataFrame(cells, "term string, url string, tf long")
+    store = tc.TermCountStore(spark, path, buckets=4)
+    assert store.apply(frame([("a", "u", 2), ("b", "u", 1), ("b", "v", 5)]), batch_id="monday")
+    again = tc.TermCountStore(spark.newSession(), path, buckets=99)
+    assert again.state["buckets"] == 4 and rows(again.counts()) == [("a", 2, 1), ("b", 6, 2)] and again.n_pages() == 2
+    assert not again.apply(frame([("a", "u", 2), ("b", "u", 1)]), batch_id="monday")
+    # a batch that is cut off before its manifest changes nothing, and can be done again
+    commit, again._commit = again._commit, lambda state: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        again.apply(frame([("a", "u", 7), ("c", "w", 1), ("b", "v", None)]), batch_id="tuesday")
+    assert rows(tc.TermCountStore(spark, path).counts()) == [("a", 2, 1), ("b", 6, 2)]
+    assert tc.TermCountStore(spark, path).apply(frame([("a", "u", 7), ("c", "w", 1), ("b", "v", None)]), batch_id="tuesday")
+    last = tc.TermCountStore(spark, path)
+    assert rows(last.counts()) == [("a", 7, 1), ("b", 1, 1), ("c", 1, 1)] and last.n_pages() == 2
+    last.apply(frame([("a", "u", None), ("b", "u", None)]), batch_id="wednesday")
+    last.compact()
+    end = tc.TermCountStore(spark, path)
+    assert rows(end.counts()) == [("c", 1, 1)] and end.n_pages() == 1
+    assert rows(end.cells().select("term", "url", "tf")) == [("c", "w", 1)] and all(len(p) == 1 for p in end.state["cells"].values())
+    end.apply(frame([("c", "w", 3), ("a", "u", 1)]))
+    assert rows(tc.TermCountStore(spark, path).counts()) == [("a", 1, 1), ("c", 3, 1)]
+
+
+def test_a_batch_reads_only_its_buckets(spark, tmp_path):
+    store = tc.TermCountStore(spark, f"{tmp_path}/counts", buckets=8)
+    store.apply(spark.createDataFrame([(f"t{i}", f"u{i}", 1) for i in range(200)], "term string, url string, tf long"))
+    read = []
+    cells = store.cells
+    store.cells = lambda buckets=None: read.append(buckets) or cells(buckets)
+    store.apply(spark.createDataFrame([("t1", "u1", 2)], "term string, url string, tf long"))
+    assert len(read[0]) == 1 and sorted(map(len, store.state["cells"].values())) == [1] * 7 + [2]
+
+
 def test_largest_rule_and_found(spark, tmp_path):
     data = [(i, t, 0, v, f"2024-01-{d:02d} 00:00:00", "u", 1) for i, (t, v, d) in enumerate([("a", "\t\th://1|tf=2,h://2|tf=1,h://3|tf=1", 1), ("a", "\t\th://1|tf=1", 9), ("b", "\t\th://4|tf=1", 9), (None, "\t\th://9|tf=1", 9), ("c", None, 9)])]
     df = spark.createDataFrame(data, INDEX.replace("indexed_at timestamp", "indexed_at string")).withColumn("indexed_at", F.col("indexed_at").cast("timestamp"))
