@@ -62,10 +62,11 @@ def weighted_tokens(html: Column) -> Column:
     return F.concat(seen, hidden)
 
 
-def page_title(html: Column) -> Column:
-    """The first title without tags and commas, spaces collapsed, at most 200 characters."""
+def page_title(html: Column, longest: int | None = None) -> Column:
+    """The first title without tags and commas, spaces collapsed; cut only where a length is given."""
     raw = without(F.regexp_extract(html, TITLE, 1), TAG)
-    return F.substring(F.trim(F.regexp_replace(F.replace(raw, F.lit(","), F.lit(" ")), SPACE, " ")), 1, 200)
+    title = F.trim(F.regexp_replace(F.replace(raw, F.lit(","), F.lit(" ")), SPACE, " "))
+    return title if longest is None else F.substring(title, 1, longest)
 
 
 def is_stop_word(token: Column) -> Column:

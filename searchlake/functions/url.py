@@ -107,4 +107,5 @@ def is_trap(url: Column) -> Column:
 
 
 def bucket_of(url: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(buckets)).cast("int")
+    """A bucket by the beginning of the SHA-1 of a url: the same in any language."""
+    return F.pmod(F.conv(F.substring(F.sha1(url), 1, 13), 16, 10).cast("long"), F.lit(buckets)).cast("int")

@@ -121,21 +121,32 @@ def is_english(language: Column) -> Column:
     return language.isNull() | F.startswith(F.lower(language), F.lit("en"))
 
 
-def politeness(visits: DataFrame, host: str, ts: str, gap_ms: int = DEFAULT_GAP_MS) -> DataFrame:
-    """Visits with gap_ms since the same host's visit before, `too_soon`, and `ready_at_ms`, when a deferred one may go.
-
-    A host's visits are put in order day by day, and each day's first visit looks at the last one
-    of the days before: a busy host is no single task. Rows with a null host or time take no part.
+def politeness(visits: DataFrame, host: str, ts: str, gap_ms: int = DEFAULT_GAP_MS, chunk_ms: int = 3_600_000) -> DataFrame:
+    """Visits with gap_ms since the same host's visit before, `too_soon`, and `ready_at_ms`, when it may go.
+
+    Deferred visits keep the gap to the one let go before: the k-th visit of a host is ready at
+    gap * k + max(ms_j - gap * j) over the first k visits j. Both are running figures, which are made
+    chunk by chunk of time and then shifted by what the chunks before carry over: a busy host is
+    no single task. Rows with a null host or time take no part; visits of one time go in an order of
+    their own values.
     """
     ms = F.unix_millis(F.col(ts).cast("timestamp"))
-    rows = visits.where(F.col(host).isNotNull() & F.col(ts).isNotNull()).withColumns({"__ms": ms, "__day": F.floor(ms / 86_400_000)})
-    days = rows.groupBy(host, "__day").agg(F.max("__ms").alias("__last"))
-    days = days.select(host, "__day", F.lag("__last").over(W.partitionBy(host).orderBy("__day")).alias("__earlier"))
-    rows = rows.withColumn("__before", F.lag("__ms").over(W.partitionBy(host, "__day").orderBy("__ms"))).join(days, [host, "__day"])
+    rows = visits.where(F.col(host).isNotNull() & F.col(ts).isNotNull()).withColumns({"__ms": ms, "__chunk": F.floor(ms / chunk_ms), "__tie": F.xxhash64(*visits.columns)})
+    inside = W.partitionBy(host, "__chunk").orderBy("__ms", "__tie")
+    so_far = inside.rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({"__k": F.row_number().over(inside), "__before": F.lag("__ms").over(inside)})
+    rows = rows.withColumn("__most", F.max(F.col("__ms") - F.lit(gap_ms) * F.col("__k")).over(so_far))
+    chunks = rows.groupBy(host, "__chunk").agg(F.max("__ms").alias("__last"), F.max("__k").alias("__n"), F.max("__most").alias("__top"))
+    earlier = W.partitionBy(host).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.withColumns({"__earlier": F.max("__last").over(earlier), "__skipped": F.coalesce(F.sum("__n").over(earlier), F.lit(0))})
+    # a chunk's visits are numbered from 1 in it; all before it move its figures by gap * number
+    carried = F.max(F.col("__top") - F.lit(gap_ms) * F.col("__skipped")).over(earlier)
+    chunks = chunks.withColumn("__carried", carried).select(host, "__chunk", "__earlier", "__skipped", "__carried")
+    rows = rows.join(chunks, [host, "__chunk"])
     gap = F.col("__ms") - F.coalesce("__before", "__earlier")
-    rows = rows.withColumn("gap_ms", gap)
-    ready = F.col("__ms") + F.greatest(F.lit(gap_ms) - F.coalesce("gap_ms", F.lit(gap_ms)), F.lit(0))
-    return rows.withColumns({"too_soon": F.coalesce(F.col("gap_ms") < gap_ms, F.lit(False)), "ready_at_ms": ready}).drop("__ms", "__day", "__before", "__earlier")
+    ready = F.lit(gap_ms) * (F.col("__k") + F.col("__skipped")) + F.greatest(F.col("__most") - F.lit(gap_ms) * F.col("__skipped"), F.col("__carried"))
+    rows = rows.withColumns({"gap_ms": gap, "too_soon": F.coalesce(gap < gap_ms, F.lit(False)), "ready_at_ms": ready})
+    return rows.drop("__ms", "__chunk", "__tie", "__k", "__before", "__most", "__earlier", "__skipped", "__carried")
 
 
 def content_dedup(pages: DataFrame, id_col: str, body: str) -> DataFrame:

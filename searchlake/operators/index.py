@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.functions import text
+from searchlake.functions import url as urls
 from searchlake.functions.porter import stem_vocabulary
 from searchlake.operators.skew import heavy_key_hashes, salted_join, salted_top
-from searchlake.session import materialize, spread
+from searchlake.session import materialize, path_exists, spread
 
-#: Limits of the index (fixed values).
-MAX_PAGE, MAX_PAGE_FOR_LINKS = 1_000_000, 750_000
+#: Limits that an index can be made with (fixed values); without them, nothing is left out.
+MAX_PAGE, MAX_PAGE_FOR_LINKS, MAX_TITLE = 1_000_000, 750_000, 200
 TOP_DOCS, TOP_DOCS_OF_STOP_WORD = 20_000, 5_000
 
 
@@ -28,9 +29,16 @@ class Index:
     doc_stats: DataFrame
 
 
-def documents(pages: DataFrame, longest: int = MAX_PAGE) -> DataFrame:
-    """(url, html) of pages that have both and aren't too long."""
-    return pages.where(F.col("url").isNotNull() & F.col("html").isNotNull() & (F.length("html") <= longest)).select("url", "html")
+def documents(pages: DataFrame, longest: int | None = None) -> DataFrame:
+    """(url, html) of pages that have both, and aren't longer than a limit where one is given."""
+    fits = F.lit(True) if longest is None else F.length("html") <= longest
+    return pages.where(F.col("url").isNotNull() & F.col("html").isNotNull() & fits).select("url", "html")
+
+
+def left_out(pages: DataFrame, longest: int) -> DataFrame:
+    """(n_pages, n_chars): what a limit on the length of pages leaves out."""
+    over = pages.where(F.col("url").isNotNull() & (F.length("html") > longest))
+    return over.agg(F.count(F.lit(1)).alias("n_pages"), F.coalesce(F.sum(F.length("html")), F.lit(0)).cast("long").alias("n_chars"))
 
 
 def not_yet_indexed(docs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -49,14 +57,20 @@ def longest_run(values: Column) -> Column:
     return F.aggregate(F.array_sort(values), zero, step, lambda acc: acc["best"])
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
+def with_stats(docs: DataFrame, longest_title: int | None = None) -> DataFrame:
     """Documents with length, max_tf and title; each row by itself, without a shuffle."""
     found = docs.withColumn("__tokens", text.tokens(F.col("html")))
-    return found.select("url", "html", F.size("__tokens").alias("length"), F.greatest(longest_run(F.col("__tokens")), F.lit(1)).alias("max_tf"), text.page_title(F.col("html")).alias("title"))
+    return found.select("url", "html", F.size("__tokens").alias("length"), F.greatest(longest_run(F.col("__tokens")), F.lit(1)).alias("max_tf"), text.page_title(F.col("html"), longest_title).alias("title"))
+
+
+def doc_stats(docs: DataFrame, longest_title: int | None = None) -> DataFrame:
+    return with_stats(docs, longest_title).drop("html")
 
 
-def doc_stats(docs: DataFrame) -> DataFrame:
-    return with_stats(docs).drop("html")
+def one_per_url(stats: DataFrame) -> DataFrame:
+    """Doc stats with one row a url: of several the one of the greatest length, then max_tf, then title."""
+    best = stats.groupBy("url").agg(F.max(F.struct("length", "max_tf", "title")).alias("s"))
+    return best.select("url", "s.length", "s.max_tf", "s.title")
 
 
 def corpus_size(stats: DataFrame) -> int:
@@ -94,8 +108,11 @@ def postings(docs: DataFrame, stems: bool = False) -> DataFrame:
     return _postings_of(places)
 
 
-def top_postings(found: DataFrame, cap: int = TOP_DOCS, stop_cap: int = TOP_DOCS_OF_STOP_WORD) -> DataFrame:
-    """The documents of the highest weight of each term, fewer for stop words; equal ones by url."""
+def top_postings(found: DataFrame, cap: int | None = TOP_DOCS, stop_cap: int | None = TOP_DOCS_OF_STOP_WORD) -> DataFrame:
+    """The documents of the highest weight of each term, fewer for stop words; equal ones by url. Without limits, all of them."""
+    if cap is None and stop_cap is None:
+        return found
+    cap, stop_cap = (F.lit(2**62 if c is None else c) for c in (cap, stop_cap))
     order = [F.desc("weighted_tf"), F.col("url")]
     heavy = heavy_key_hashes(found.select("term"), ["term"], 0.005)
     return salted_top(found, ["term"], order, F.when(F.col("is_stop"), stop_cap).otherwise(cap), ["url"], heavy)
@@ -107,24 +124,25 @@ def idf_terms(found: DataFrame, n_docs: int) -> DataFrame:
     return counts.withColumn("idf", F.log(F.lit(float(n_docs)) / F.col("df")))
 
 
-def build_index(pages: DataFrame, stems: bool = False, cap: int = TOP_DOCS, stop_cap: int = TOP_DOCS_OF_STOP_WORD) -> Index:
-    docs = documents(pages)
-    stats = doc_stats(docs)
-    found = top_postings(materialize(postings(docs, stems), "postings"), cap, stop_cap)
-    return Index(found, idf_terms(found, corpus_size(stats)), stats)
+def build_index(pages: DataFrame, stems: bool = False, cap: int | None = None, stop_cap: int | None = None, longest: int | None = None, longest_title: int | None = None) -> Index:
+    """The index of pages. df and idf are those of all postings, also where a limit keeps only the first ones of a term."""
+    docs = documents(pages, longest)
+    stats = materialize(one_per_url(doc_stats(docs, longest_title)), "stats")
+    found = materialize(postings(docs, stems), "postings")
+    return Index(top_postings(found, cap, stop_cap), idf_terms(found, stats.count()), stats)
 
 
-def merge_indexes(old: Index, new: Index, cap: int = TOP_DOCS, stop_cap: int = TOP_DOCS_OF_STOP_WORD) -> Index:
-    """Both indexes as one; where both have a posting or a page, the old one stands."""
+def merge_indexes(old: Index, new: Index, cap: int | None = None, stop_cap: int | None = None) -> Index:
+    """Both indexes as one; where both have a posting or a page, the old one stands. Lists that were cut before are cut lists here too."""
     # the postings are read several times from here on, so they are written once
     both = old.postings.unionByName(new.postings.join(old.postings.select("term", "url"), ["term", "url"], "left_anti"))
-    stats = old.doc_stats.unionByName(not_yet_indexed(new.doc_stats, old.doc_stats)).dropDuplicates(["url"])
-    found = top_postings(materialize(both, "postings"), cap, stop_cap)
-    return Index(found, idf_terms(found, corpus_size(stats)), stats)
+    stats = materialize(old.doc_stats.unionByName(not_yet_indexed(new.doc_stats, old.doc_stats)), "stats")
+    found = materialize(both, "postings")
+    return Index(top_postings(found, cap, stop_cap), idf_terms(found, stats.count()), stats)
 
 
 def export_cells(index: Index) -> DataFrame:
-    """(term, _value): the text form of the index, postings by falling normalized tf, then url. Lists are capped in top_postings()."""
+    """(term, _value): the text form of the index, postings by falling normalized tf, then url. A limit on lists is top_postings()."""
     parts = [
         F.col("url"), F.concat(F.lit("tf="), F.col("tf")), F.concat(F.lit("weightedTf="), text.fixed(F.col("weighted_tf"), 4)), F.concat(F.lit("normalizedTf="), text.fixed(F.col("normalized_tf"), 6)),
         F.concat(F.lit("docLen="), F.col("doc_len")), F.concat(F.lit("pos="), F.array_join("positions", " ")),
@@ -151,14 +169,40 @@ def write_index(index: Index, path: str, buckets: int = 100) -> None:
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
 
 
+def build_in_buckets(spark: SparkSession, pages: DataFrame, path: str, url_buckets: int = 8, buckets: int = 100, stop_after: int | None = None, stems: bool = False) -> list[int]:
+    """Index pages bucket by bucket of their urls into a stored index; gives the buckets done by this call.
+
+    A bucket's postings and doc stats are whole when its mark is there; buckets with a mark are passed
+    over, so that a build that was stopped goes on where it was. Terms are made last, of all buckets.
+    """
+    done = []
+    term_bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    for b in range(url_buckets):
+        if path_exists(spark, f"{path}/doc_stats/part={b}/_SUCCESS"):
+            continue
+        if stop_after is not None and len(done) >= stop_after:
+            return done
+        docs = documents(pages.where(urls.bucket_of(F.col("url"), url_buckets) == b))
+        postings(docs, stems).withColumn("bucket", term_bucket).repartition("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/part={b}")
+        one_per_url(doc_stats(docs)).write.mode("overwrite").parquet(f"{path}/doc_stats/part={b}")  # its mark comes last
+        done.append(b)
+    n_docs = spark.read.parquet(f"{path}/doc_stats").count()
+    found = spark.read.parquet(f"{path}/postings").select("term", "bucket")
+    terms = idf_terms(found, n_docs).withColumn("bucket", term_bucket)
+    terms.repartition(min(buckets, 32), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    return done
+
+
 def read_index(spark: SparkSession, path: str, terms: list[str] | None = None, buckets: int = 100) -> Index:
     """A stored index, or the part of it that holds some terms; only their folders are read."""
 
     def read(name: str) -> DataFrame:
         df = spark.read.parquet(f"{path}/{name}")
         if terms is not None:
-            numbers = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct()
-            df = df.where(F.col("bucket").isin([r[0] for r in numbers.collect()]) & F.col("term").isin(terms))
-        return df.drop("bucket")
+            df = df.where(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
+        return df.drop("bucket", "part")
 
-    return Index(read("postings"), read("terms"), spark.read.parquet(f"{path}/doc_stats"))
+    if terms is not None:
+        asked = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct()
+        numbers = [r[0] for r in asked.collect()]
+    return Index(read("postings"), read("terms"), spark.read.parquet(f"{path}/doc_stats").drop("part"))

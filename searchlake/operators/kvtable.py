@@ -10,6 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from searchlake.operators.skew import heavy_key_hashes, salted_join
+
 PAGE = 10
 
 
@@ -27,11 +29,22 @@ def rows(log: DataFrame, at_version: int | None = None) -> DataFrame:
     return cells(log, at_version).groupBy("row_key").agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("cols"))
 
 
-def put(log: DataFrame, new: DataFrame) -> DataFrame:
-    """The log with puts (row_key, col, val) under versions above all others of their row."""
+def put(log: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The log with puts (row_key, col, val) under versions above all others of their row.
+
+    `order` names a whole-number column of `new` that says which put came first; versions follow it,
+    so that the last put to a cell stands. It needs no sorting, and versions may have gaps. Without it
+    all puts are made at once, and of several to one cell the largest value stands.
+    """
     top = log.groupBy("row_key").agg(F.max("version").alias("top"))
-    put_on = new.join(top, "row_key", "left").withColumn("version", F.coalesce("top", F.lit(0)).cast("long") + 1)
-    return log.unionByName(put_on.select("row_key", "col", "val", "version"))
+    later = F.lit(0)
+    if order is not None:
+        first = new.agg(F.min(order)).first()[0]
+        later = F.col(order).cast("long") - F.lit(0 if first is None else int(first))
+    heavy = heavy_key_hashes(new.select("row_key"), ["row_key"], 0.01)
+    salted = salted_join(new.withColumn("__later", later), top, ["row_key"], ["col", "val", "__later"], heavy, how="left")
+    version = F.coalesce("top", F.lit(0)).cast("long") + 1 + F.col("__later")
+    return log.unionByName(salted.withColumn("version", version).select("row_key", "col", "val", "version"))
 
 
 def put_rows(state: DataFrame, new: DataFrame) -> DataFrame:
@@ -81,9 +94,10 @@ def page(log: DataFrame, number: int, size: int = PAGE) -> DataFrame:
 
 
 def row_hashes(log: DataFrame) -> DataFrame:
-    """(row_key, hash) over a row's cells, for comparing two copies of a table."""
+    """(row_key, hash) over a row's cells by column, for comparing two copies of a table. A null value differs from an empty one."""
     entries: Column = F.array_sort(F.map_entries("cols"))
-    return rows(log).select("row_key", F.xxhash64(entries).alias("hash"))
+    texts = F.transform(entries, lambda e: F.concat(e["key"], F.coalesce(F.concat(F.lit("="), e["value"]), F.lit("!"))))
+    return rows(log).select("row_key", F.md5(F.array_join(texts, "\x1f")).alias("hash"))
 
 
 def differing_keys(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,21 +6,26 @@ page. Ranks aren't normalised; what flows to pages that aren't nodes, or from pa
 
 from __future__ import annotations
 
+import json
+import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.functions import url as urls
-from searchlake.operators.index import MAX_PAGE_FOR_LINKS, documents
-from searchlake.session import materialize, spread
+from searchlake.operators.index import documents
+from searchlake.operators.crawl import CheckpointPolicy
+from searchlake.operators.skew import heavy_key_hashes, salted_join
+from searchlake.session import discard, materialize, path_exists, spread
 
 DAMPING = 0.85
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
+def link_edges(pages: DataFrame, longest: int | None = None) -> DataFrame:
     """Distinct (src, dst) of the links of pages, resolved. Only links that no expression takes go through Python."""
-    docs = spread(documents(pages, MAX_PAGE_FOR_LINKS))
+    docs = spread(documents(pages, longest))
     links = docs.select(urls.canonical_url(F.col("url")).alias("src"), F.explode(urls.extract_hrefs(F.col("html"))).alias("href")).where("src IS NOT NULL").distinct()
     # written once, because the links with and without a simple form are read apart
     links = materialize(links.withColumn("dst", urls.simple_link(F.col("src"), F.col("href"))), "links")
@@ -39,7 +44,9 @@ def graph(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame,
         nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
     nodes = nodes.select("id").where("id IS NOT NULL").distinct()
     degree = edges.groupBy("src").agg((F.lit(DAMPING) / F.count(F.lit(1))).alias("share"))
-    known = edges.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").join(degree, "src")
+    # a page that very many link to is spread over salts
+    heavy = heavy_key_hashes(edges.select("dst"), ["dst"], 0.005)
+    known = salted_join(edges, nodes.select(F.col("id").alias("dst")), ["dst"], ["src"], heavy, how="left_semi").join(degree, "src")
     return known.select("src", "dst", "share"), nodes.withColumns({"rank": F.lit(1.0), "prev": F.lit(1.0)})
 
 
@@ -73,22 +80,61 @@ class Ranking:
     percent: float
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, threshold: float = 0.001, percent: float = 100.0, max_iterations: int = 200, resume: DataFrame | None = None) -> Ranking:
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, threshold: float = 0.001, percent: float = 100.0, max_iterations: int | None = None, resume: DataFrame | None = None, checkpoint: str | None = None, policy: CheckpointPolicy | None = None) -> Ranking:
     """Iterate until no rank changes by the threshold, or until enough percent of nodes have settled.
 
-    `resume` gives (id, rank) of an earlier run to go on from. Each iteration is written to the
-    shared folder, so that a lost executor costs one iteration at most.
+    Each iteration is written to the shared folder, so that a lost executor costs one iteration at
+    most, and the one before is removed. `checkpoint` names a folder in which ranks and a description
+    are kept as the policy says; a run that finds one there goes on from it. `resume` gives (id,
+    rank) of an earlier run instead. Ranks that haven't settled after `max_iterations` are an error.
     """
     links, state = graph(edges, nodes)
-    links = materialize(links, "links")
+    links = by_source(materialize(links, "links"))
+    started, at = 0, None
+    if checkpoint is not None and resume is None and (saved := last_checkpoint(edges.sparkSession, checkpoint)) is not None:
+        resume, started = saved[0], saved[1]["iteration"]
+    policy = policy or CheckpointPolicy()
     if resume is not None:
         old = resume.select("id", F.col("rank").alias("old"))
         state = state.join(old, "id", "left").select("id", F.coalesce("old", "rank").alias("rank"), F.coalesce("old", "prev").alias("prev"))
     state = materialize(state, "ranks")
-    for k in range(1, max_iterations + 1):
-        state = materialize(step(links, state), "ranks")
+    done, k = False, started
+    while not done:
+        if max_iterations is not None and k - started >= max_iterations:
+            raise RuntimeError(f"ranks haven't settled after {max_iterations} iterations: the largest change is {max_diff}")
+        k, before = k + 1, state
+        state = materialize(step(links, before), "ranks")
+        discard(before)
         max_diff, settled, total = convergence(state, threshold).first()
-        if not total or max_diff < threshold or 100.0 * settled / total >= percent:
-            break
+        done = not total or max_diff < threshold or 100.0 * settled / total >= percent
+        if checkpoint is not None and (done or policy.due(k, time.monotonic())):
+            at = time.monotonic()
+            save_checkpoint(state, checkpoint, {"iteration": k, "max_diff": max_diff or 0.0, "settled": settled, "total": total, "done": done})
+            policy.wrote(time.monotonic(), time.monotonic() - at)
+    links.unpersist()
     share = 100.0 * settled / total if total else 100.0
-    return Ranking(state.select("id", "rank"), k, max_diff or 0.0, share)
+    return Ranking(state.select("id", "rank"), k - started, max_diff or 0.0, share)
+
+
+def by_source(links: DataFrame) -> DataFrame:
+    """Links laid out by source once, on the executors' disks, so that no iteration shuffles them. What an executor lost is read again from the files that they came from."""
+    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return links.repartition(n, "src").persist(StorageLevel.DISK_ONLY)
+
+
+def save_checkpoint(state: DataFrame, path: str, about: dict) -> None:
+    """Ranks of an iteration, and last the row that describes them."""
+    state.select("id", "rank").write.mode("overwrite").parquet(f"{path}/iteration={about['iteration']}/ranks")
+    state.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/iteration={about['iteration']}/about")
+
+
+def last_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, dict] | None:
+    """(ranks, description) of the last whole checkpoint in a folder, or null."""
+    files, at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not files.exists(at):
+        return None
+    numbers = sorted((int(x.getPath().getName().partition("=")[2]) for x in files.listStatus(at) if x.getPath().getName().startswith("iteration=")), reverse=True)
+    for k in numbers:
+        if path_exists(spark, f"{path}/iteration={k}/about/_SUCCESS"):
+            return spark.read.parquet(f"{path}/iteration={k}/ranks"), json.loads(spark.read.text(f"{path}/iteration={k}/about").first()[0])
+    return None

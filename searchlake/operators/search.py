@@ -7,7 +7,8 @@ the postings of those terms.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def expand(index: Index, terms: Sequence[str], stems: bool) -> DataFrame:
     rows = spark.createDataFrame(own, "i int, original string, term string, priority int")
     if wanted:
         base = spark.createDataFrame(wanted, "i int, original string, stem string")
-        words = stem_vocabulary(index.terms).where("stem <> term").join(F.broadcast(base), "stem").where("term <> original")
+        words = stem_vocabulary(index.terms).where("stem <> term").join(F.broadcast(base), "stem").where("term <> original")  # as many rows as the query has terms
         rows = rows.unionByName(words.select("i", "original", "term", F.lit(2).alias("priority")))
     return rows
 
@@ -43,8 +44,8 @@ def matches(index: Index, terms: Sequence[str], stems: bool = False) -> DataFram
     """
     expanded = expand(index, terms, stems)
     found = index.postings if stems else index.postings.where(F.col("term").isin(list(terms)))
-    # a query has few terms, and each few expansions: the small side's size doesn't depend on the data
-    hits = found.join(F.broadcast(expanded), "term").join(index.terms.select("term", "idf"), "term")
+    # without stems a query has as many rows as terms; words that share a stem come from the data, and Spark judges their size
+    hits = found.join(expanded if stems else F.broadcast(expanded), "term").join(index.terms.select("term", "idf"), "term")
     counts = (~F.col("is_stop")) & (F.col("normalized_tf") > 0)
     value = F.when(counts, F.struct("priority", "term", (F.col("normalized_tf") * F.col("idf")).alias("s")))
     grouped = hits.groupBy("i", "original", "url").agg(F.min(value).alias("first"), F.flatten(F.collect_list("positions")).alias("positions"))
@@ -161,12 +162,18 @@ def spellcheck(vocabulary: DataFrame, query: str, most: int = 2) -> DataFrame:
     words = query.lower().split()
     asked = spark.createDataFrame(list(enumerate(words)), "i int, word string")
     # the words of one query against all terms: a column each, no join of rows
-    best = [F.min(F.when(F.levenshtein(F.col("term"), F.lit(w)) <= most, F.struct(F.levenshtein(F.col("term"), F.lit(w)).alias("d"), "term"))).alias(f"b{i}") for i, w in enumerate(words)]
+    def near(w: str) -> Column:
+        """The distance, -1 beyond `most`, worked out only for terms of about the same length."""
+        return F.when(F.length("term").between(len(w) - most, len(w) + most), F.levenshtein(F.col("term"), F.lit(w), most)).otherwise(-1)
+
+    best = [F.min(F.when(F.col(f"d{i}") >= 0, F.struct(F.col(f"d{i}").alias("d"), "term"))).alias(f"b{i}") for i in range(len(words))]
     if not best:
         return asked.withColumn("correction", F.lit(None).cast("string"))
-    found = vocabulary.agg(*best).select(F.posexplode(F.array(*[F.col(f"b{i}") for i in range(len(words))])).alias("i", "b"))
-    near = found.select("i", F.when(F.col("b.d") > 0, F.col("b.term")).alias("correction"))
-    return asked.join(F.broadcast(near), "i", "left").select("i", "word", "correction")
+    lengths = [F.length("term").between(len(w) - most, len(w) + most) for w in words]
+    close = vocabulary.where(reduce(or_, lengths))
+    found = close.select("term", *[near(w).alias(f"d{i}") for i, w in enumerate(words)]).agg(*best).select(F.posexplode(F.array(*[F.col(f"b{i}") for i in range(len(words))])).alias("i", "b"))
+    corrected = found.select("i", F.when(F.col("b.d") > 0, F.col("b.term")).alias("correction"))
+    return asked.join(F.broadcast(corrected), "i", "left").select("i", "word", "correction")
 
 
 def spellcheck_query(vocabulary: DataFrame, query: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SALT, KEY = "__salt", "__key_hash"
@@ -52,18 +52,29 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
+def heavy_share(spark: SparkSession, share: float) -> float:
+    """A share of all rows, but at most what falls to four of the shuffle's partitions.
+
+    A key of less than that is a small burden to its task, however large the table and the cluster are.
+    """
+    return min(share, 4 / max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def heavy_key_hashes(df: DataFrame, keys: Sequence[str], share: float = 0.005, weight: Column | None = None) -> list[int]:
-    """Hashes of the keys that hold at least `share` of all rows (or of all `weight`).
+    """Hashes of the keys that hold at least `share` of all rows (or of all `weight`), less on a large cluster.
 
-    At most 1/share keys can, so that the list's size is bounded whatever the data. The count
-    reads the key columns alone and is combined before its shuffle.
+    At most 1/share keys can, so that the list's size is bounded whatever the data. One pass reads the
+    key columns alone; counts are combined before their shuffle, and the total is observed on the way.
     """
     if not 0 < share <= 1:
         raise ValueError("share must be above 0 and at most 1")
+    share = heavy_share(df.sparkSession, share)
     weight = F.lit(1) if weight is None else weight
-    counts = df.groupBy(key_hash(keys).alias(KEY)).agg(F.sum(weight).cast("double").alias("n"))
-    total = df.agg(F.sum(weight).cast("double")).first()[0] or 0.0
-    return [r[0] for r in counts.where(F.col("n") >= share * total).select(KEY).collect()] if total else []
+    seen = Observation()
+    counts = df.groupBy(key_hash(keys).alias(KEY)).agg(F.sum(weight).cast("double").alias("n")).observe(seen, F.sum("n").alias("total"))
+    first = counts.orderBy(F.desc("n")).limit(int(1 / share) + 1).collect()
+    total = (seen.get["total"] or 0.0) if first else 0.0
+    return [r[KEY] for r in first if total and r["n"] is not None and r["n"] >= share * total]
 
 
 def salt_column(keys: Sequence[str], heavy: Sequence[int], salt_by: Sequence[str], salts: int, seed: int = 11) -> Column:

@@ -37,7 +37,7 @@ def url_trap_filter(spark, folder):
 
 def robots_allowed(spark, folder):
     rules = crawl.robots_rules(table(spark, folder, "hosts")).select("host", "rules")
-    one = rules.groupBy("host").agg(F.first("rules").alias("rules"))
+    one = rules.groupBy("host").agg(F.min("rules").alias("rules"))  # of several texts of a host, the same one at every run
     pages = table(spark, folder, "pages").select("url", urls.url_host(F.col("url")).alias("host"), urls.url_path(F.col("url")).alias("path"))
     found = pages.join(one, "host", "left")
     return found.select("url", crawl.robots_allow(F.col("path"), F.coalesce("rules", F.array().cast(crawl.ROBOTS))).alias("allowed"))
@@ -72,6 +72,32 @@ def politeness_gap(spark, folder):
     return crawl.politeness(events, "user_id", "ts", 3_600_000).groupBy("user_id").agg(F.count_if("too_soon").alias("too_soon"), F.min("gap_ms").alias("least_gap_ms"), F.sum("gap_ms").alias("span_ms"))
 
 
+def politeness_ready(spark, folder):
+    events = table(spark, folder, "events").select("event_id", "user_id", "ts")
+    return crawl.politeness(events, "user_id", "ts", 36_000_000).select("user_id", "ready_at_ms")
+
+
+ROBOTS_CASES = [
+    (1, "User-agent: *\nDisallow: /a\nAllow: /a/b\nCrawl-delay: 2.5", "/a/b", False, 2500),
+    (2, "User-agent: *\nAllow: /a/b\nDisallow: /a # all else", "/a/b", True, None),
+    (3, "User-agent: other\nDisallow: /", "/x", True, None),
+    (4, "User-agent: other\nUser-agent: *\nDisallow: /", "/x", False, None),
+    (5, "User-agent: *\nDisallow:", "/x", True, None),
+    (6, "User-agent: *\nDisallow: /x\nUser-agent: other\nAllow: /", "/x/y", False, None),
+    (7, "rubbish\nDisallow: /x", "/x", True, None),
+    (8, "", "/", True, None),
+    (9, None, "/", True, None),
+    (10, "USER-AGENT: *\nDISALLOW: /Q\ncrawl-delay: soon", "/q", True, None),
+]
+
+
+def robots_cases(spark, folder):
+    """The parser and the matcher on texts whose answers are known."""
+    cases = spark.createDataFrame([c[:3] for c in ROBOTS_CASES], "id int, robots_text string, path string").withColumn("host", F.col("id").cast("string"))
+    found = cases.select("id", "host", "path").join(crawl.robots_rules(cases), "host")
+    return found.select("id", crawl.robots_allow(F.col("path"), F.col("rules")).alias("allowed"), "delay_ms")
+
+
 def content_dedup(spark, folder):
     return crawl.content_dedup(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -87,7 +113,7 @@ def fetch_outcome(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    crawl_bfs_k, crawl_seen_anti, crawl_blacklist, url_trap_filter, robots_allowed, robots_match, crawl_delay, content_type_filter, size_filter, lang_filter, politeness_gap, content_dedup, fetch_outcome,
+    crawl_bfs_k, crawl_seen_anti, crawl_blacklist, url_trap_filter, robots_allowed, robots_match, crawl_delay, content_type_filter, size_filter, lang_filter, politeness_gap, politeness_ready, robots_cases, content_dedup, fetch_outcome,
 )}
 
 _PATH = f"CASE WHEN regexp_extract(split_part(url, '#', 1), '{urls.PARTS}', 4) = '' THEN '/' ELSE regexp_extract(split_part(url, '#', 1), '{urls.PARTS}', 4) END"
@@ -108,6 +134,10 @@ SQL = {
     "politeness_gap": """
         SELECT user_id, count(*) FILTER (gap < 3600000) AS too_soon, min(gap) AS least_gap_ms, sum(gap)::bigint AS span_ms
         FROM (SELECT user_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL) GROUP BY user_id""",
+    "politeness_ready": """
+        WITH v AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+        SELECT user_id, (36000000 * k + max(ms - 36000000 * k) OVER (PARTITION BY user_id ORDER BY k))::bigint AS ready_at_ms FROM v""",
+    "robots_cases": "SELECT * FROM (VALUES (1, false, 2500), (2, true, NULL), (3, true, NULL), (4, false, NULL), (5, true, NULL), (6, false, NULL), (7, true, NULL), (8, true, NULL), (9, true, NULL), (10, true, NULL)) t(id, allowed, delay_ms)",
     "content_dedup": "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WHERE text IS NOT NULL",
     "fetch_outcome": """SELECT * FROM (VALUES (1, 'store'), (2, 'redirect'), (3, 'blacklist'), (4, 'blacklist_type'), (5, 'skip_small'), (6, 'blacklist_size'), (7, 'retry'), (8, 'skip_language'),
         (9, 'retry'), (10, 'skip_status'), (11, 'skip_status')) t(id, outcome)""",

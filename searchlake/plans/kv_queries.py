@@ -30,6 +30,17 @@ def kv_put(spark, folder):
     return kv.cells(kv.put(log, new)).select("row_key", "col", "val")
 
 
+def kv_put_repeated(spark, folder):
+    """Every event put once more, in reverse: the first event of a cell is the last put."""
+    log = log_of(spark, folder)
+    new = log.select("row_key", "col", "val", (-F.col("version")).alias("at"))
+    return kv.cells(kv.put(log, new, "at")).select("row_key", "col", "val")
+
+
+def kv_count(spark, folder):
+    return log_of(spark, folder).agg(F.countDistinct("row_key").alias("n"))
+
+
 def kv_cas(spark, folder):
     state = kv.cells(log_of(spark, folder))
     wishes = state.where("col = 'view'").select("row_key", "col", F.when(F.col("row_key").cast("int") % 2 == 0, F.col("val")).otherwise("none").alias("expected"), F.lit("new").alias("val"))
@@ -76,7 +87,7 @@ def kv_differing(spark, folder):
     return kv.differing_keys(log, log.where("NOT (row_key = '8' AND col = 'view')"))
 
 
-QUERIES = {f.__name__: f for f in (kv_upsert_latest, kv_put, kv_cas, kv_put_row, kv_get_row, kv_multi_get, kv_get_version, kv_exists, kv_range_scan, kv_page, kv_row_hash, kv_differing)}
+QUERIES = {f.__name__: f for f in (kv_upsert_latest, kv_put, kv_put_repeated, kv_count, kv_cas, kv_put_row, kv_get_row, kv_multi_get, kv_get_version, kv_exists, kv_range_scan, kv_page, kv_row_hash, kv_differing)}
 
 _LOG = "WITH log AS (SELECT user_id::varchar AS row_key, event_type AS col, value::varchar AS val, event_id AS version FROM events)"
 _CELLS = _LOG + ", cells AS (SELECT row_key, col, arg_max(val, version) AS val, max(version) AS version FROM log GROUP BY row_key, col)"
@@ -85,6 +96,9 @@ _ROWS = _CELLS + ", rows AS (SELECT row_key, string_agg(col || '=' || val, ';' O
 SQL = {
     "kv_upsert_latest": _CELLS + " SELECT * FROM cells",
     "kv_put": _CELLS + " SELECT row_key, col, CASE WHEN col = 'click' THEN 'put' ELSE val END AS val FROM cells",
+    "kv_put_repeated": _LOG + " SELECT row_key, col, arg_min(val, version) AS val FROM log GROUP BY row_key, col",
+    "kv_count": "SELECT count(DISTINCT user_id) AS n FROM events",
+    "kv_row_hash": _CELLS + " SELECT row_key, md5(string_agg(col || '=' || val, chr(31) ORDER BY col)) AS hash FROM cells GROUP BY row_key",
     "kv_cas": _CELLS + " SELECT row_key, col, 'new' AS val, row_key::int % 2 = 0 AS done FROM cells WHERE col = 'view'",
     "kv_put_row": _CELLS + " SELECT row_key, col, val FROM cells WHERE row_key NOT LIKE '1%' UNION ALL SELECT DISTINCT row_key, 'only', 'x' FROM cells WHERE row_key LIKE '1%'",
     "kv_get_row": _ROWS + " SELECT * FROM rows WHERE row_key = '8'",

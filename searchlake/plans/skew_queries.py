@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from searchlake.functions.postings import TF_PATTERN, posting_count
 from searchlake.operators.skew import count_rows, max_of, min_of, salted_aggregate, sum_of
-from searchlake.session import table
+from searchlake.session import materialize, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The terms with at least one percent of the rows; rows of a null term count in the total."""
-    index = table(spark, folder, "pt_index")
-    counts = salted_aggregate(index.where(F.col("term").isNotNull()), ["term"], [count_rows("n")], ["entry_id"])
-    return counts.where(F.col("n") * 100 >= F.lit(index.count())).select("term")
+    # one row a term, which is written because the total is made of it too
+    counts = materialize(salted_aggregate(table(spark, folder, "pt_index"), ["term"], [count_rows("n")], ["entry_id"]), "terms")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("term").isNotNull() & (F.col("n") * 100 >= F.lit(total))).select("term")
 
 
 def p1_term_totals(spark: SparkSession, folder: str) -> DataFrame:

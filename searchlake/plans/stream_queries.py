@@ -28,5 +28,8 @@ SQL = {
     "stream_event_windows": """
         SELECT epoch_us(time_bucket(INTERVAL 1 DAY, ts)) // 1000000 AS begin_s, event_type, count(*) AS n FROM events
         WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+    "stream_politeness": """
+        WITH v AS (SELECT user_id::varchar AS host, epoch_us(ts) // 1000 AS ts_ms, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+        SELECT host, ts_ms, (60000 * k + max(ts_ms - 60000 * k) OVER (PARTITION BY host ORDER BY k))::bigint AS ready_at_ms FROM v""",
     "stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",
 }

@@ -71,6 +71,32 @@ def drop_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _at(spark: SparkSession, path: str):
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), java
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a frame from materialize(), which nothing reads any more."""
+    for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
+        given = next((m for m in _made if path.endswith(m.partition(":")[2] or m) or m.endswith(path)), None)
+        if given:
+            files, at = _at(df.sparkSession, given)
+            files.delete(at, True)
+            _made.remove(given)
+
+
+def table_version(spark: SparkSession, folder: str, name: str) -> str:
+    """A table's path with the time and size of its files: another one when the table was written anew."""
+    files, at = _at(spark, f"{folder}/{name}.parquet")
+    return f"{folder}/{name} {files.getFileStatus(at).getModificationTime()} {files.getContentSummary(at).getLength()}"
+
+
 def _drop_at_exit() -> None:
     try:
         if (spark := SparkSession.getActiveSession()) is not None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,29 +46,31 @@ def first_seen(stream: DataFrame, keys: list[str], ts: str, within: str) -> Data
     return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(keys)
 
 
-def polite_visits(stream: DataFrame, host: str, ts: str, gap_ms: int) -> DataFrame:
+def polite_visits(stream: DataFrame, host: str, ts: str, gap_ms: int, late: str = "1 day", forget_ms: int = 86_400_000) -> DataFrame:
     """(host, ts_ms, ready_at_ms): each visit with the time when it may go, a host's visits being gap_ms apart.
 
-    The state of a host is the time of its last visit; it is dropped when the newest visits are a day
-    past it. Visits come in order within a batch; those later than a day are dropped.
+    A host's visits of one micro-batch go in order of time, whatever Arrow batches they come in; of
+    each only its time is held. The state of a host is when its last visit was let go; it is dropped
+    when the newest visits are `forget_ms` past it. Visits later than `late` are dropped.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        for batch in batches:
-            asked = sorted(batch["ts_ms"].tolist())
-            ready = []
-            for t in asked:
-                last = t if last is None else max(t, last + gap_ms)
-                ready.append(last)
-            yield pd.DataFrame({"host": [str(key[0])] * len(asked), "ts_ms": asked, "ready_at_ms": ready})
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(int(last), state.getCurrentWatermarkMs()) + 86_400_000)
-
-    rows = stream.where(F.col(host).isNotNull() & F.col(ts).isNotNull()).select(F.col(host).cast("string").alias("host"), F.col(ts).cast("timestamp").alias("at")).withWatermark("at", "1 day")
+        asked = np.sort(np.concatenate([np.empty(0, np.int64), *[b["ts_ms"].to_numpy(np.int64) for b in batches]]))
+        if not len(asked):
+            return
+        steps = gap_ms * np.arange(len(asked), dtype=np.int64)
+        slack = asked - steps
+        if state.exists:
+            slack[0] = max(slack[0], state.get[0] + gap_ms)
+        ready = np.maximum.accumulate(slack) + steps
+        for k in range(0, len(asked), 100_000):
+            yield pd.DataFrame({"host": str(key[0]), "ts_ms": asked[k : k + 100_000], "ready_at_ms": ready[k : k + 100_000]})
+        state.update((int(ready[-1]),))
+        state.setTimeoutTimestamp(max(int(ready[-1]), state.getCurrentWatermarkMs()) + forget_ms)
+
+    rows = stream.where(F.col(host).isNotNull() & F.col(ts).isNotNull()).select(F.col(host).cast("string").alias("host"), F.col(ts).cast("timestamp").alias("at")).withWatermark("at", late)
     rows = rows.withColumn("ts_ms", F.unix_millis("at"))
     return rows.groupBy("host").applyInPandasWithState(decide, "host string, ts_ms long, ready_at_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
