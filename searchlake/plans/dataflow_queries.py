@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.operators import dataflow as flow
-from searchlake.session import materialize, save_path_of, table
+from searchlake.session import materialize, save_path_of, scratch_path, table
 from searchlake.sources import tables
 
 
@@ -90,6 +92,47 @@ def fold_by_key(spark, folder):
     return flow.fold_by_key(pairs, F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003)
 
 
+def fold_by_key_merged(spark, folder):
+    pairs = flow.map_to_pair(table(spark, folder, "lineitem"), F.col("l_returnflag"), F.col("l_orderkey").cast("long"))
+    return flow.fold_by_key(pairs, F.lit(0).cast("long"), lambda a, x: (a + x * x) % 1000003, lambda a, b: (a + b) % 1000003)
+
+
+def table_upsert(spark, folder):
+    """A stored table after an upsert in place."""
+    path = scratch_path(spark, "orders")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    tables.save(orders, path)
+    tables.save_upsert(spark, path, orders.where("o_orderstatus = 'F'").withColumn("o_orderstatus", F.lit("X")), ["o_orderkey"])
+    return spark.read.parquet(path)
+
+
+def table_life(spark, folder):
+    """What is left after tables were made, renamed, dropped and destroyed."""
+    tag = uuid.uuid4().hex[:12]
+    one, two, three = (f"life_{x}_{tag}" for x in ("one", "two", "three"))
+    region = table(spark, folder, "region").select("r_regionkey", "r_name")
+    for name in (one, two):
+        tables.save_as_table(region, name)
+    tables.rename_table(spark, one, three)
+    handle = tables.TableHandle(spark, two)
+    rows = handle.frame().count()
+    handle.destroy()
+    try:
+        handle.frame()
+        refused = False
+    except RuntimeError:
+        refused = True
+    left = [n.rpartition("_")[0] for n in tables.list_tables(spark) if n.endswith(tag)]
+    dropped = [n.rpartition("_")[0] for n in tables.drop_tables(spark, [one, two, three])]
+    return spark.createDataFrame([("rows", str(rows)), ("refused", str(refused).lower()), ("left", ",".join(left)), ("dropped", ",".join(dropped))], "step string, found string")
+
+
+def output(spark, folder):
+    shown = tables.show(table(spark, folder, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"))
+    none = tables.show(table(spark, folder, "region").where("r_regionkey < 0"))
+    return spark.createDataFrame([(k, t) for k, t in enumerate([*shown.split("\n"), none])], "line int, text string")
+
+
 def aggregate_by_key(spark, folder):
     pairs = flow.map_to_pair(table(spark, folder, "orders"), F.col("o_orderpriority"), F.col("o_totalprice"))
     return flow.aggregate_by_key(pairs, F.round(F.max("v"), 2))
@@ -116,8 +159,8 @@ def join(spark, folder):
 
 
 def _cogrouped(spark, folder):
-    left = flow.map_to_pair(table(spark, folder, "customer").where("c_acctbal < 0"), F.col("c_nationkey"), F.col("c_name"))
-    return left, flow.map_to_pair(table(spark, folder, "supplier").where("s_acctbal > 5000"), F.col("s_nationkey"), F.col("s_name"))
+    left = flow.map_to_pair(table(spark, folder, "customer"), F.col("c_nationkey"), F.col("c_name"))
+    return left, flow.map_to_pair(table(spark, folder, "supplier"), F.col("s_nationkey"), F.col("s_name"))
 
 
 def cogroup(spark, folder):
@@ -140,7 +183,7 @@ def take(spark, folder):
 QUERIES = {
     "parallelize": parallelize, "from_table": from_table, "save_overwrite_by_key": save_overwrite_by_key, "save_and_read": save_and_read, "line_source": line_source,
     "flat_map": flat_map, "flat_map_to_pair": flat_map_to_pair, "map_to_pair": map_to_pair, "filter": filter_, "map_partitions": map_partitions, "hash_sample": hash_sample,
-    "distinct": distinct, "intersection": intersection, "group_by": group_by, "fold_by_key": fold_by_key, "aggregate_by_key": aggregate_by_key, "fold_by_key_concat": fold_by_key_concat,
+    "distinct": distinct, "intersection": intersection, "group_by": group_by, "fold_by_key": fold_by_key, "fold_by_key_merged": fold_by_key_merged, "table_upsert": table_upsert, "table_life": table_life, "output": output, "aggregate_by_key": aggregate_by_key, "fold_by_key_concat": fold_by_key_concat,
     "pair_flat_map_to_pair": pair_flat_map_to_pair, "pair_flat_map": pair_flat_map, "join": join, "cogroup": cogroup, "count": count, "fold": fold, "take": take,
 }
 
@@ -160,14 +203,18 @@ SQL = {
     "intersection": "SELECT c_nationkey AS value FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "group_by": "SELECT n_regionkey AS k, string_agg(n_name, ',' ORDER BY n_name) AS value FROM nation GROUP BY 1",
     "fold_by_key": "SELECT p_brand AS k, list_reduce(list_prepend(7::bigint, list(p_size::bigint ORDER BY p_size)), lambda a, x: (a * 31 + x) % 1000003) AS value FROM part GROUP BY 1",
+    "fold_by_key_merged": "SELECT l_returnflag AS k, (sum((l_orderkey::hugeint * l_orderkey) % 1000003) % 1000003)::bigint AS value FROM lineitem GROUP BY 1",
+    "table_upsert": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders",
+    "table_life": "SELECT 'rows' AS step, count(*)::varchar AS found FROM region UNION ALL SELECT * FROM (VALUES ('refused', 'true'), ('left', 'life_three'), ('dropped', 'life_three')) t(step, found)",
+    "output": "SELECT (row_number() OVER (ORDER BY r_regionkey) - 1)::int AS line, r_regionkey || chr(9) || r_name AS text FROM region UNION ALL SELECT count(*)::int, 'No output' FROM region",
     "aggregate_by_key": "SELECT o_orderpriority AS k, round(max(o_totalprice), 2) AS value FROM orders GROUP BY 1",
     "fold_by_key_concat": "SELECT n_regionkey AS k, string_agg(n_name, ';' ORDER BY n_name) AS value FROM nation GROUP BY 1",
     "pair_flat_map_to_pair": "SELECT unnest(string_split(p_name, ' ')) AS k, p_brand AS v FROM part",
     "pair_flat_map": "SELECT p_brand || ':' || unnest(string_split(p_name, ' ')) AS value FROM part",
     "join": "SELECT r_regionkey AS k, r_name || ',' || n_name AS value FROM region JOIN nation ON r_regionkey = n_regionkey",
     "cogroup": """
-        WITH a AS (SELECT c_nationkey AS k, string_agg(c_name, ',' ORDER BY c_name) AS v FROM customer WHERE c_acctbal < 0 GROUP BY 1),
-             b AS (SELECT s_nationkey AS k, string_agg(s_name, ',' ORDER BY s_name) AS v FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+        WITH a AS (SELECT c_nationkey AS k, string_agg(c_name, ',' ORDER BY c_name) AS v FROM customer GROUP BY 1),
+             b AS (SELECT s_nationkey AS k, string_agg(s_name, ',' ORDER BY s_name) AS v FROM supplier GROUP BY 1)
         SELECT k, '[' || coalesce(a.v, '') || '],[' || coalesce(b.v, '') || ']' AS value FROM a FULL JOIN b USING (k)""",
     "count": "SELECT count(*) AS n FROM lineitem",
     "fold": "SELECT round(max(o_totalprice), 2) AS most, count(*) FILTER (o_totalprice > 100000) AS large, count(*) AS n FROM orders",

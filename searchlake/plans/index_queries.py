@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.functions import porter, text
+from searchlake.functions import url as urls
 from searchlake.operators import index as ix
-from searchlake.session import materialize, table
+from searchlake.session import drop_at_exit, materialize, path_exists, scratch_path, shared_folder, table, table_version
 
 
 def pages_of(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages")
 
 
+#: Indexes that were built for a table as it is, by session and table: searches read them from the shared folder.
+_stores: dict[tuple[str, str, bool], str] = {}
+BUCKETS = 32
+
+
+def stored(spark: SparkSession, folder: str, stems: bool = False) -> str:
+    """The path of the stored index of the pages of a folder; it is built at the first call of a session."""
+    key = (spark.sparkContext.applicationId, table_version(spark, folder, "pages"), stems)
+    path = _stores.get(key)
+    if path is None or not path_exists(spark, f"{path}/terms/_SUCCESS"):
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        ix.build_in_buckets(spark, pages_of(spark, folder), path, url_buckets=1, buckets=BUCKETS, stems=stems)
+        _stores[key] = path
+        drop_at_exit(path)
+    return path
+
+
+def index_of(spark: SparkSession, folder: str, terms: list[str] | None = None, stems: bool = False) -> ix.Index:
+    """The stored index, or the part of it that holds some terms."""
+    return ix.read_index(spark, stored(spark, folder, stems), terms, BUCKETS)
+
+
 def docs(spark, folder):
-    return ix.documents(pages_of(spark, folder)).select("url", F.length("html").alias("n_chars"))
+    return ix.documents(pages_of(spark, folder), ix.MAX_PAGE).select("url", F.length("html").alias("n_chars"))
+
+
+def docs_left_out(spark, folder):
+    return ix.left_out(pages_of(spark, folder), 800)
 
 
 def tokenize(spark, folder):
@@ -23,7 +52,30 @@ def tokenize(spark, folder):
 
 
 def doc_stats(spark, folder):
-    return ix.doc_stats(ix.documents(pages_of(spark, folder)))
+    return ix.doc_stats(ix.documents(pages_of(spark, folder)), ix.MAX_TITLE)
+
+
+def doc_stats_one_per_url(spark, folder):
+    known = table(spark, folder, "doc_stats").where("url IS NOT NULL")
+    return ix.one_per_url(known)
+
+
+def index_buckets(spark, folder):
+    """A build in four buckets that is stopped after one and goes on; documents and terms by what is stored."""
+    path = scratch_path(spark, "buckets")
+    first = ix.build_in_buckets(spark, pages_of(spark, folder), path, 4, 8, stop_after=1)
+    rest = ix.build_in_buckets(spark, pages_of(spark, folder), path, 4, 8)
+    assert (first, rest) == ([0], [1, 2, 3]) and ix.build_in_buckets(spark, pages_of(spark, folder), path, 4, 8) == []
+    found = ix.read_index(spark, path, buckets=8)
+    return found.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def url_buckets(spark, folder):
+    return pages_of(spark, folder).select("url", urls.bucket_of(F.col("url"), 100).alias("bucket"))
+
+
+def value_hashes(spark, folder):
+    return table(spark, folder, "part").select("p_partkey", F.sha1(F.col("p_name")).alias("hash"))
 
 
 def corpus_size(spark, folder):
@@ -61,22 +113,37 @@ def postings_topn(spark, folder):
 
 
 def idf(spark, folder):
-    return ix.build_index(pages_of(spark, folder)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return index_of(spark, folder).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def index_merge(spark, folder):
+def idf_text(spark, folder):
+    return index_of(spark, folder).terms.select("term", text.fixed(F.col("idf"), 8).alias("idf"))
+
+
+def _merged(spark, folder) -> ix.Index:
+    """Two indexes whose pages overlap: those crawled in the first and those in the last part of the time; together all."""
     p = pages_of(spark, folder)
-    old, new = ix.build_index(p.where("page_id % 2 = 0")), ix.build_index(p.where("page_id % 3 <> 0"))
-    merged = ix.merge_indexes(old, new)
-    return merged.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    low, high = p.agg(F.min(F.unix_micros("crawled_at")), F.max(F.unix_micros("crawled_at"))).first()
+    low, high = low or 0, high or 0
+    at = F.coalesce(F.unix_micros("crawled_at"), F.lit(low))
+    old, new = p.where(at <= low + (high - low) * 6 // 10), p.where(at >= low + (high - low) * 4 // 10)
+    return ix.merge_indexes(ix.build_index(old), ix.build_index(new))
+
+
+def index_merge(spark, folder):
+    return _merged(spark, folder).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def index_merge_postings(spark, folder):
+    return _listed(_merged(spark, folder).postings)
 
 
 def vocabulary(spark, folder):
-    return ix.vocabulary(ix.build_index(pages_of(spark, folder)).terms)
+    return ix.vocabulary(index_of(spark, folder).terms)
 
 
 def index_cells(spark, folder):
-    return ix.export_cells(ix.build_index(pages_of(spark, folder))).select("term", F.regexp_replace("_value", r"^[0-9.]+\t", "").alias("cell"))
+    return ix.export_cells(index_of(spark, folder)).select("term", F.regexp_replace("_value", r"^[0-9.]+\t", "").alias("cell"))
 
 
 def stem_postings(spark, folder):
@@ -84,11 +151,11 @@ def stem_postings(spark, folder):
 
 
 def stem_vocabulary(spark, folder):
-    return porter.stem_vocabulary(ix.build_index(pages_of(spark, folder)).terms)
+    return porter.stem_vocabulary(index_of(spark, folder).terms)
 
 
 def stop_words(spark, folder):
-    terms = ix.build_index(pages_of(spark, folder)).terms
+    terms = index_of(spark, folder).terms
     return terms.where(text.is_stop_word(F.col("term"))).select("term", "df")
 
 
@@ -102,7 +169,7 @@ def fixed_decimals(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    docs, tokenize, doc_stats, corpus_size, index_resume_anti, token_positions, postings, tf, postings_topn, idf, index_merge, vocabulary, index_cells, stem_postings, stem_vocabulary,
+    docs, docs_left_out, doc_stats_one_per_url, index_buckets, url_buckets, value_hashes, idf_text, index_merge_postings, tokenize, doc_stats, corpus_size, index_resume_anti, token_positions, postings, tf, postings_topn, idf, index_merge, vocabulary, index_cells, stem_postings, stem_vocabulary,
     stop_words, escape_and_highlight, fixed_decimals,
 )}
 
@@ -117,10 +184,10 @@ def without_sql(x: str, *patterns: str) -> str:
     return x
 
 
-TITLE_SQL = f"substr(trim(regexp_replace(replace({without_sql(f"regexp_extract(html, '{text.TITLE}', 1)", text.TAG)}, ',', ' '), '{text.SPACE}', ' ', 'g')), 1, 200)"
+TITLE_SQL = f"trim(regexp_replace(replace({without_sql(f"regexp_extract(html, '{text.TITLE}', 1)", text.TAG)}, ',', ' '), '{text.SPACE}', ' ', 'g'))"
 VISIBLE_SQL = without_sql("html", text.SCRIPT, text.STYLE, text.COMMENT, text.META, text.TAG)
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")"
-DOCS = "docs AS (SELECT page_id, url, html FROM pages WHERE url IS NOT NULL AND html IS NOT NULL AND length(html) <= 1000000)"
+DOCS = "docs AS (SELECT page_id, url, html FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)"
 
 
 def _code_sql(pattern: str) -> str:
@@ -146,27 +213,32 @@ def index_sql(source: str = "docs", tag: str = "") -> str:
 
 
 INDEX = f"WITH {DOCS}, {index_sql()}"
-CAPPED = INDEX + """, top AS (SELECT * FROM pn QUALIFY row_number() OVER (PARTITION BY term ORDER BY weighted_tf DESC, url) <= CASE WHEN is_stop THEN 5000 ELSE 20000 END),
-    te AS (SELECT term, count(*) AS df, ln((SELECT count(DISTINCT url) FROM st)::double / count(*)) AS idf FROM top GROUP BY term)"""
+WHOLE = INDEX + """, te AS (SELECT term, count(*) AS df, ln((SELECT count(DISTINCT url) FROM st)::double / count(*)) AS idf FROM pn GROUP BY term)"""
 
 SQL = {
-    "docs": f"WITH {DOCS} SELECT url, length(html)::int AS n_chars FROM docs",
+    "docs": f"WITH {DOCS} SELECT url, length(html)::int AS n_chars FROM docs WHERE length(html) <= 1000000",
+    "docs_left_out": "SELECT count(*) AS n_pages, coalesce(sum(length(html)), 0)::bigint AS n_chars FROM pages WHERE url IS NOT NULL AND length(html) > 800",
+    "doc_stats_one_per_url": """SELECT url, length, max_tf, title FROM doc_stats WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY length DESC NULLS LAST, max_tf DESC NULLS LAST, title DESC NULLS LAST) = 1""",
+    "url_buckets": "SELECT url, (('0x' || substr(sha1(url), 1, 13))::bigint % 100)::int AS bucket FROM pages",
+    "value_hashes": "SELECT p_partkey, sha1(p_name) AS hash FROM part",
     "tokenize": f"WITH {DOCS} SELECT url, array_to_string(list_filter({words_sql(without_sql('html', text.TAG))}, lambda t: regexp_matches(t, '{text.WORTHY}')), ' ') AS tokens FROM docs",
-    "doc_stats": INDEX + " SELECT url, length, max_tf, title FROM st",
+    "doc_stats": INDEX + " SELECT url, length, max_tf, substr(title, 1, 200) AS title FROM st",
     "corpus_size": INDEX + " SELECT count(DISTINCT url) AS n FROM st",
     "index_resume_anti": f"WITH {DOCS} SELECT url FROM docs WHERE url NOT IN (SELECT url FROM doc_stats WHERE length > 300 AND url IS NOT NULL)",
     "token_positions": INDEX + " SELECT * FROM tp",
     "postings": INDEX + " SELECT term, url, tf, round(weighted_tf, 6) AS weighted_tf, array_to_string(positions, ' ') AS positions, is_stop FROM po",
     "tf": INDEX + " SELECT term, url, round(normalized_tf, 6) AS normalized_tf, doc_len FROM pn",
     "postings_topn": INDEX + " SELECT term, url, round(weighted_tf, 6) AS weighted_tf FROM pn QUALIFY row_number() OVER (PARTITION BY term ORDER BY weighted_tf DESC, url) <= CASE WHEN is_stop THEN 5 ELSE 20 END",
-    "idf": CAPPED + " SELECT term, df, round(idf, 6) AS idf FROM te",
-    "index_merge": f"""WITH {DOCS}, a AS (SELECT * FROM docs WHERE page_id % 2 = 0 OR page_id % 3 <> 0), {index_sql('a')}
-        SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM a)::double / count(*)), 6) AS idf FROM pn GROUP BY term""",
-    "vocabulary": CAPPED + " SELECT term FROM te WHERE regexp_matches(term, '^[a-z]{1,20}$')",
-    "index_cells": CAPPED + """ SELECT term, count(*) || chr(9) || string_agg(url || '|tf=' || tf || '|weightedTf=' || printf('%.4f', round(weighted_tf, 4)) || '|normalizedTf=' || printf('%.6f', round(normalized_tf, 6))
+    "idf": WHOLE + " SELECT term, df, round(idf, 6) AS idf FROM te",
+    "idf_text": WHOLE + " SELECT term, printf('%.8f', round(idf, 8)) AS idf FROM te",
+    "index_merge": WHOLE + " SELECT term, df, round(idf, 6) AS idf FROM te",
+    "index_buckets": WHOLE + " SELECT term, df, round(idf, 6) AS idf FROM te",
+    "index_merge_postings": INDEX + " SELECT term, url, tf, round(weighted_tf, 6) AS weighted_tf, array_to_string(positions, ' ') AS positions, is_stop FROM po",
+    "vocabulary": WHOLE + " SELECT term FROM te WHERE regexp_matches(term, '^[a-z]{1,20}$')",
+    "index_cells": WHOLE + """ SELECT term, count(*) || chr(9) || string_agg(url || '|tf=' || tf || '|weightedTf=' || printf('%.4f', round(weighted_tf, 4)) || '|normalizedTf=' || printf('%.6f', round(normalized_tf, 6))
         || '|docLen=' || doc_len || '|pos=' || array_to_string(positions, ' ') || '|weights=' || array_to_string(list_transform(weights, lambda w: printf('%.3f', w)), ' ')
-        || CASE WHEN is_stop THEN '|stop=true' ELSE '' END, ',' ORDER BY normalized_tf DESC, url) AS cell FROM top GROUP BY term""",
-    "stop_words": CAPPED + f" SELECT term, df FROM te WHERE term IN {STOP_SQL}",
+        || CASE WHEN is_stop THEN '|stop=true' ELSE '' END, ',' ORDER BY normalized_tf DESC, url) AS cell FROM pn GROUP BY term""",
+    "stop_words": WHOLE + f" SELECT term, df FROM te WHERE term IN {STOP_SQL}",
     "escape_and_highlight": r"""
         WITH e AS (SELECT result_id, replace(replace(replace(preview, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM search_results WHERE preview IS NOT NULL)
         SELECT result_id, replace(replace(x, '"', '&quot;'), '''', '&#39;') AS escaped, regexp_replace(x, '(?i)\b(shard|the)\b', '<mark>\1</mark>', 'g') AS marked FROM e""",

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from searchlake.functions import text, url as urls
 from searchlake.operators import index as ix, pagerank as pr, search as se
-from searchlake.plans.index_queries import CAPPED, DOCS, VISIBLE_SQL, pages_of
-from searchlake.session import materialize, table
+from searchlake.plans.index_queries import DOCS, VISIBLE_SQL, WHOLE, index_of, pages_of
+from searchlake.operators.crawl import CheckpointPolicy
+from searchlake.session import scratch_path, table
 
 ONE, TWO, THREE = "harbour", "salt cheese", "barley bread crawler"
 ITERATIONS = 3
@@ -23,8 +24,9 @@ def _ranks(spark: SparkSession, folder: str) -> DataFrame:
     return pr.iterate(links, nodes, ITERATIONS)
 
 
-def _index(spark: SparkSession, folder: str) -> ix.Index:
-    return ix.build_index(pages_of(spark, folder))
+def _index(spark: SparkSession, folder: str, query: str | None = None) -> ix.Index:
+    """The stored index, or what of it the terms of a query need."""
+    return index_of(spark, folder, None if query is None else text.query_terms(query))
 
 
 def link_edges(spark, folder):
@@ -32,7 +34,7 @@ def link_edges(spark, folder):
 
 
 def link_edges_absolute(spark, folder):
-    docs = ix.documents(pages_of(spark, folder), ix.MAX_PAGE_FOR_LINKS)
+    docs = ix.documents(pages_of(spark, folder))
     links = docs.select("url", F.explode(urls.extract_hrefs(F.col("html"))).alias("href")).where(F.col("href").rlike("^https?://"))
     return links.select("url", urls.canonical_url(F.col("href")).alias("dst")).distinct()
 
@@ -63,29 +65,46 @@ def pagerank(spark, folder):
 
 
 def search_tfidf(spark, folder):
-    return se.tfidf(_index(spark, folder), ONE).select("url", F.round("tfidf", 6).alias("tfidf"))
+    return se.tfidf(_index(spark, folder, ONE), ONE).select("url", F.round("tfidf", 6).alias("tfidf"))
 
 
 def search_stopword(spark, folder):
-    return se.tfidf(_index(spark, folder), "The").select("url", "tfidf")
+    return se.tfidf(_index(spark, folder, "The"), "The").select("url", "tfidf")
+
+
+def search_unknown(spark, folder):
+    """A term that no page has, with all terms asked for: nothing is found, and no page is read for it."""
+    return se.tfidf(_index(spark, folder, "salt zzzzzzzzz"), "salt zzzzzzzzz").select("url", "tfidf")
+
+
+def pagerank_resumed(spark, folder):
+    """Three iterations that are checkpointed, then the rest from the checkpoint."""
+    edges, nodes, path = table(spark, folder, "edges"), pages_of(spark, folder).select(F.col("url").alias("id")), scratch_path(spark, "ranks")
+    try:
+        pr.pagerank(edges, nodes, max_iterations=3, checkpoint=path, policy=CheckpointPolicy(every=1))
+    except RuntimeError:
+        pass
+    assert pr.last_checkpoint(spark, path)[1]["iteration"] == 3
+    done = pr.pagerank(edges, nodes, checkpoint=path)
+    return done.ranks.select("id", F.round("rank", 2).alias("rank"))
 
 
 def search_stemmed(spark, folder):
-    found = se.tfidf(ix.build_index(pages_of(spark, folder), stems=True), "crawlers maps", stems=True)
+    found = se.tfidf(index_of(spark, folder, stems=True), "crawlers maps", stems=True)
     return found.select("url", F.round("tfidf", 6).alias("tfidf"))
 
 
 def search_and(spark, folder):
-    found = se.tfidf(_index(spark, folder), THREE, phrase=False)
+    found = se.tfidf(_index(spark, folder, THREE), THREE, phrase=False)
     return found.select("url", F.round("tfidf", 6).alias("tfidf"))
 
 
 def search_phrase(spark, folder):
-    return se.tfidf(_index(spark, folder), TWO).select("url", F.round("tfidf", 6).alias("tfidf"), "is_phrase")
+    return se.tfidf(_index(spark, folder, TWO), TWO).select("url", F.round("tfidf", 6).alias("tfidf"), "is_phrase")
 
 
 def search_coverage(spark, folder):
-    found = se.search(_index(spark, folder), THREE, titles=False, require_all=False)
+    found = se.search(_index(spark, folder, THREE), THREE, titles=False, require_all=False)
     return found.select("url", F.round("total_score", 6).alias("total_score"))
 
 
@@ -96,23 +115,23 @@ def search_title_boost(spark, folder):
 
 
 def search_ranked(spark, folder):
-    found = se.search(_index(spark, folder), TWO, _ranks(spark, folder))
+    found = se.search(_index(spark, folder, TWO), TWO, _ranks(spark, folder))
     return found.select("url", *[F.round(c, 6).alias(c) for c in ("total_score", "tfidf_score", "page_rank_score")], "title")
 
 
 def search_page(spark, folder):
-    found = se.search(_index(spark, folder), ONE)
+    found = se.search(_index(spark, folder, ONE), ONE)
     rounded = found.select("url", F.round("total_score", 6).alias("total_score"), "title")
     return se.result_page(rounded, 2, 10)
 
 
 def search_preview(spark, folder):
-    found = se.search(_index(spark, folder), TWO, pages=pages_of(spark, folder))
+    found = se.search(_index(spark, folder, TWO), TWO, pages=pages_of(spark, folder))
     return found.select("url", "preview")
 
 
 def search_cached_queries(spark, folder):
-    run = se.CachedSearch(_index(spark, folder))
+    run = se.CachedSearch(_index(spark, folder, TWO))
     first, again = run(TWO), run("  Salt  CHEESE ")
     assert first == again and run.cache_info().hits == 1
     return spark.createDataFrame([(r["url"], round(r["total_score"], 6)) for r in again], "url string, total_score double")
@@ -137,7 +156,7 @@ def cached_page(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    link_edges, link_edges_absolute, canonical_urls, anchor_texts, pagerank_k_iters, pagerank_convergence, pagerank, search_tfidf, search_stopword, search_stemmed, search_and,
+    link_edges, link_edges_absolute, canonical_urls, anchor_texts, pagerank_k_iters, pagerank_convergence, pagerank, pagerank_resumed, search_unknown, search_tfidf, search_stopword, search_stemmed, search_and,
     search_phrase, search_coverage, search_title_boost, search_ranked, search_page, search_preview, search_cached_queries, suggest, spellcheck, spellcheck_query, cached_page,
 )}
 
@@ -164,14 +183,22 @@ def _rank_sql(iterations: int) -> str:
     return ", ".join(parts)
 
 
+def _settled_sql(threshold: float, most: int) -> str:
+    """Ranks of the first iteration, of at most so many, in which no rank changes by the threshold."""
+    changes = " UNION ALL ".join(f"SELECT {k} AS k, max(abs(rank - prev)) AS d FROM r{k}" for k in range(1, most + 1))
+    ranks = " UNION ALL ".join(f"SELECT {k} AS k, id, rank FROM r{k}" for k in range(1, most + 1))
+    return f"""WITH {_rank_sql(most)}, changes AS MATERIALIZED ({changes}), last AS MATERIALIZED (SELECT min(k) AS k FROM changes WHERE d < {threshold} OR d IS NULL)
+        SELECT id, round(rank, 2) AS rank FROM ({ranks}) JOIN last USING (k)"""
+
+
 def _found_sql(terms: list[str], require_all: bool, phrase: bool) -> str:
-    """CTE f(url, tfidf, matched, is_phrase) over top and te."""
+    """CTE f(url, tfidf, matched, is_phrase) over pn and te."""
     listed = ", ".join(f"'{t}'" for t in terms)
     beside = " AND ".join(
-        f"list_has_any(list_transform(max(positions) FILTER (top.term = '{a}'), lambda p: p + 1), max(positions) FILTER (top.term = '{b}'))" for a, b in zip(terms, terms[1:])
+        f"list_has_any(list_transform(max(positions) FILTER (pn.term = '{a}'), lambda p: p + 1), max(positions) FILTER (pn.term = '{b}'))" for a, b in zip(terms, terms[1:])
     ) or "false"
-    return f"""f0 AS (SELECT url, sum(CASE WHEN is_stop OR normalized_tf <= 0 THEN 0 ELSE normalized_tf * idf END) AS s, count(DISTINCT top.term) AS matched, coalesce({beside}, false) AS is_phrase
-          FROM top JOIN te USING (term) WHERE top.term IN ({listed}) GROUP BY url {f'HAVING count(DISTINCT top.term) = {len(terms)}' if require_all else ''}),
+    return f"""f0 AS (SELECT url, sum(CASE WHEN is_stop OR normalized_tf <= 0 THEN 0 ELSE normalized_tf * idf END) AS s, count(DISTINCT pn.term) AS matched, coalesce({beside}, false) AS is_phrase
+          FROM pn JOIN te USING (term) WHERE pn.term IN ({listed}) GROUP BY url {f'HAVING count(DISTINCT pn.term) = {len(terms)}' if require_all else ''}),
         f AS (SELECT url, s * CASE WHEN is_phrase AND {str(phrase).lower()} THEN 1.5 ELSE 1 END AS tfidf, matched, is_phrase FROM f0)"""
 
 
@@ -195,14 +222,14 @@ _NEAR = """WITH w AS (SELECT unnest(range(len(l))) AS i, unnest(l) AS word FROM
 
 
 def _near_sql(query: str, last: str) -> str:
-    return CAPPED + ", " + _NEAR.format(words=str(query.split())).removeprefix("WITH ") + last
+    return WHOLE + ", " + _NEAR.format(words=str(query.split())).removeprefix("WITH ") + last
 
 
 SQL = {
-    "link_edges_absolute": f"WITH {DOCS} SELECT DISTINCT url, {canonical_sql('h')} AS dst FROM (SELECT url, unnest({_HREFS}) AS h FROM docs WHERE length(html) <= 750000) WHERE regexp_matches(h, '^https?://')",
+    "link_edges_absolute": f"WITH {DOCS} SELECT DISTINCT url, {canonical_sql('h')} AS dst FROM (SELECT url, unnest({_HREFS}) AS h FROM docs) WHERE regexp_matches(h, '^https?://')",
     "canonical_urls": f"""SELECT page_id, {canonical_sql('url')} AS canonical, lower(nullif(regexp_extract(url, '{urls.PARTS}', 2), '')) AS host,
         CASE WHEN regexp_extract(split_part(url, '#', 1), '{urls.PARTS}', 4) = '' THEN '/' ELSE regexp_extract(split_part(url, '#', 1), '{urls.PARTS}', 4) END AS path FROM pages""",
-    "link_edges": f"""WITH {DOCS}, h AS (SELECT DISTINCT {canonical_sql('url')} AS src, trim(split_part(h, '#', 1)) AS h FROM (SELECT url, unnest({_HREFS}) AS h FROM docs WHERE length(html) <= 750000)),
+    "link_edges": f"""WITH {DOCS}, h AS (SELECT DISTINCT {canonical_sql('url')} AS src, trim(split_part(h, '#', 1)) AS h FROM (SELECT url, unnest({_HREFS}) AS h FROM docs)),
         f AS (SELECT src, CASE WHEN regexp_matches(h, '(?i)^https?://') THEN h WHEN starts_with(h, '//') THEN split_part(src, '//', 1) || h
             WHEN starts_with(h, '/') THEN regexp_extract(src, '^[a-z]+://[^/]+') || h END AS u FROM h WHERE src IS NOT NULL)
         SELECT DISTINCT src, {canonical_sql('u')} AS dst FROM f WHERE u IS NOT NULL AND NOT regexp_matches(lower(split_part(u, '?', 1)), '\\.(jpg|jpeg|gif|png|txt)$')""",
@@ -212,23 +239,26 @@ SQL = {
         SELECT * FROM t WHERE href <> ''""",
     "pagerank_k_iters": f"WITH {_rank_sql(ITERATIONS)} SELECT id, round(rank, 6) AS rank FROM r{ITERATIONS}",
     "pagerank_convergence": f"WITH {_rank_sql(ITERATIONS)} SELECT round(max(abs(rank - prev)), 6) AS max_diff, count(*) FILTER (abs(rank - prev) <= 0.01) AS converged, count(*) AS total FROM r{ITERATIONS}",
-    "search_tfidf": f"{CAPPED}, {_found_sql([ONE], False, True)} SELECT url, round(tfidf, 6) AS tfidf FROM f",
+    "pagerank": _settled_sql(0.001, 80),
+    "pagerank_resumed": _settled_sql(0.001, 80),
+    "search_unknown": f"{WHOLE}, {_found_sql(['salt', 'zzzzzzzzz'], True, True)} SELECT url, tfidf FROM f",
+    "search_tfidf": f"{WHOLE}, {_found_sql([ONE], False, True)} SELECT url, round(tfidf, 6) AS tfidf FROM f",
     "search_stopword": "SELECT url, 0.0 AS tfidf FROM pages WHERE false",
-    "search_and": f"{CAPPED}, {_found_sql(THREE.split(), True, False)} SELECT url, round(tfidf, 6) AS tfidf FROM f",
-    "search_phrase": f"{CAPPED}, {_found_sql(_T, True, True)} SELECT url, round(tfidf, 6) AS tfidf, is_phrase FROM f",
-    "search_coverage": f"{CAPPED}, {_found_sql(THREE.split(), False, True)} SELECT url, round(tfidf * CASE WHEN matched >= 3 THEN 4.0 ELSE 0.3 + 0.7 * matched / 3 END, 6) AS total_score FROM f",
+    "search_and": f"{WHOLE}, {_found_sql(THREE.split(), True, False)} SELECT url, round(tfidf, 6) AS tfidf FROM f",
+    "search_phrase": f"{WHOLE}, {_found_sql(_T, True, True)} SELECT url, round(tfidf, 6) AS tfidf, is_phrase FROM f",
+    "search_coverage": f"{WHOLE}, {_found_sql(THREE.split(), False, True)} SELECT url, round(tfidf * CASE WHEN matched >= 3 THEN 4.0 ELSE 0.3 + 0.7 * matched / 3 END, 6) AS total_score FROM f",
     "search_title_boost": f"SELECT DISTINCT title, {title_boost_sql(['guide'])} AS one, {title_boost_sql(['salt', 'cheese'])} AS two FROM search_results WHERE title IS NOT NULL",
-    "search_ranked": f"""{CAPPED}, {_rank_sql(ITERATIONS)}, {_found_sql(_T, True, True)}
+    "search_ranked": f"""{WHOLE}, {_rank_sql(ITERATIONS)}, {_found_sql(_T, True, True)}
         SELECT url, round(tfidf * (1 + coalesce(rank, 0)) * 4.0 * {title_boost_sql(_T)}, 6) AS total_score, round(tfidf, 6) AS tfidf_score, round(coalesce(rank, 0), 6) AS page_rank_score, coalesce(title, '') AS title
         FROM f LEFT JOIN st USING (url) LEFT JOIN r{ITERATIONS} ON id = url""",
-    "search_page": f"""{CAPPED}, {_found_sql([ONE], False, True)} SELECT url, round(tfidf * {title_boost_sql([ONE])}, 6) AS total_score, coalesce(title, '') AS title
+    "search_page": f"""{WHOLE}, {_found_sql([ONE], False, True)} SELECT url, round(tfidf * {title_boost_sql([ONE])}, 6) AS total_score, coalesce(title, '') AS title
         FROM f LEFT JOIN st USING (url) ORDER BY total_score DESC, url LIMIT 10 OFFSET 10""",
-    "search_preview": f"""{CAPPED}, {_found_sql(_T, True, True)}, x AS (SELECT url, {_TEXT} AS x FROM docs WHERE url IN (SELECT url FROM f)),
+    "search_preview": f"""{WHOLE}, {_found_sql(_T, True, True)}, x AS (SELECT url, {_TEXT} AS x FROM docs WHERE url IN (SELECT url FROM f)),
         y AS (SELECT url, x, greatest({_AT} - 81, 0) AS b, least(greatest({_AT} - 1, 0) + 350, length(x)) AS e FROM x)
         SELECT url, CASE WHEN length(x) < 50 THEN '' ELSE CASE WHEN b > 0 THEN '...' ELSE '' END || substr(x, b + 1, e - b) || CASE WHEN e < length(x) THEN '...' ELSE '' END END AS preview FROM y""",
-    "search_cached_queries": f"""{CAPPED}, {_found_sql(_T, True, True)} SELECT url, round(tfidf * 4.0 * {title_boost_sql(_T)}, 6) AS total_score
+    "search_cached_queries": f"""{WHOLE}, {_found_sql(_T, True, True)} SELECT url, round(tfidf * 4.0 * {title_boost_sql(_T)}, 6) AS total_score
         FROM f LEFT JOIN st USING (url) ORDER BY tfidf * 4.0 * {title_boost_sql(_T)} DESC, url LIMIT 15""",
-    "suggest": CAPPED + " SELECT 'salt ' || term AS suggestion FROM te WHERE regexp_matches(term, '^[a-z]{1,20}$') AND starts_with(term, 'che') ORDER BY term LIMIT 10",
+    "suggest": WHOLE + " SELECT 'salt ' || term AS suggestion FROM te WHERE regexp_matches(term, '^[a-z]{1,20}$') AND starts_with(term, 'che') ORDER BY term LIMIT 10",
     "spellcheck": _near_sql("harbor chese crawler zzzzzzzzz", " SELECT w.i, w.word, CASE WHEN d > 0 THEN term END AS correction FROM w LEFT JOIN b USING (i)"),
     "spellcheck_query": _near_sql("harbor chese", " SELECT string_agg(CASE WHEN d > 0 THEN term ELSE word END, ' ' ORDER BY i) AS correction FROM w LEFT JOIN b USING (i) HAVING count(CASE WHEN d > 0 THEN 1 END) > 0"),
     "cached_page": "SELECT url, html FROM pages WHERE url = (SELECT min(url) FROM pages)",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _made: list[str] = []
+_kept: list[str] = []
 
 
 def build_session(app: str = "searchlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -57,12 +58,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; it is removed when the driver ends, or by drop_scratch()."""
-    if not _made:
+    if not _made and not _kept:
         atexit.register(_drop_at_exit)
     _made.append(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
     return _made[-1]
 
 
+def drop_at_exit(path: str) -> None:
+    """Remove a path of the shared folder when the driver ends, but not in drop_scratch()."""
+    if not _made and not _kept:
+        atexit.register(_drop_at_exit)
+    _kept.append(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the paths that scratch_path() gave out. Frames that read them can't be used afterwards."""
     java = spark.sparkContext._jvm
@@ -100,6 +108,7 @@ def table_version(spark: SparkSession, folder: str, name: str) -> str:
 def _drop_at_exit() -> None:
     try:
         if (spark := SparkSession.getActiveSession()) is not None:
+            _made.extend(_kept)
             drop_scratch(spark)
     except Exception:  # the JVM may be gone already; then the files stay
         pass

@@ -7,8 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlake.session import scratch_path
-
 
 def parallelize(spark: SparkSession, values: Iterable[str]) -> DataFrame:
     """(key, value) of a list; keys are places from 0 on."""
@@ -45,10 +43,44 @@ def save(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequen
 
 
 def save_upsert(spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str]) -> str:
-    """Upsert into a stored table; the result is written beside it, and its path returned."""
-    target = scratch_path(spark, "upsert")
-    upsert(spark.read.parquet(path), new, keys).write.parquet(target)
-    return target
+    """Upsert into a stored table in place; its path is returned.
+
+    The result is written beside the table, which then makes way for it; a write that is cut off
+    leaves the table as it was. If the change of names was cut off, the next call ends it first.
+    """
+    files, old = _at(spark, path)
+    (_, beside), (_, before) = _at(spark, f"{path}.next"), _at(spark, f"{path}.before")
+    if not files.exists(old) and files.exists(beside):
+        files.rename(beside, old)
+    files.delete(before, True)
+    upsert(spark.read.parquet(path), new, keys).write.mode("overwrite").parquet(f"{path}.next")
+    if not (files.rename(old, before) and files.rename(beside, old)):
+        raise OSError(f"{path} couldn't be replaced")
+    files.delete(before, True)
+    spark.catalog.refreshByPath(path)
+    return path
+
+
+def _at(spark: SparkSession, path: str):
+    java = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return java.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), java
+
+
+class TableHandle:
+    """A table of the catalog that can be destroyed; after that, its use is an error."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.destroyed = spark, name, False
+
+    def frame(self) -> DataFrame:
+        if self.destroyed:
+            raise RuntimeError(f"{self.name} was destroyed")
+        return self.spark.table(self.name)
+
+    def destroy(self) -> None:
+        self.frame()
+        drop_tables(self.spark, [self.name])
+        self.destroyed = True
 
 
 def drop_tables(spark: SparkSession, names: Iterable[str]) -> list[str]:
