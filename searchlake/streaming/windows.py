@@ -51,7 +51,7 @@ def polite_visits(stream: DataFrame, host: str, ts: str, gap_ms: int, late: str
 
     A host's visits of one micro-batch go in order of time, whatever Arrow batches they come in; of
     each only its time is held. The state of a host is when its last visit was let go; it is dropped
-    when the newest visits are `forget_ms` past it. Visits later than `late` are dropped.
+    when the newest visits are `forget_ms` past it. Visits later than `late`, and those of 1970's first instant, are dropped.
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
