@@ -122,10 +122,19 @@ class PairModel:
         self.score = np.clip(np.log2(common * max(share.sum(), 1e-9)) - np.log2(np.maximum(share, 1e-12)), -6, 6).astype(np.float32).reshape(-1)
         self.logp = np.log((n + 0.02) / (first + 0.02 * ALPHABET)).astype(np.float32).reshape(-1)
 
-    def likelihood(self, text: str, before: str, after: str) -> float:
-        points = alphabet()[[ord(c) for c in before + text + after]]
-        others = int((points[1:-1] == OTHER).sum())  # one of some ten thousand characters each
-        return float(self.logp[points[:-1] * ALPHABET + points[1:]].sum()) - 9.0 * others
+    def likelihoods(self, texts: list[str], before: str, after: str) -> list[float]:
+        """The log probability of each text between two characters; texts of one length are worked out at once."""
+        out = [0.0] * len(texts)
+        by_length: dict[int, list[int]] = {}
+        for i, t in enumerate(texts):
+            by_length.setdefault(len(t), []).append(i)
+        for length, at in by_length.items():
+            row = length + len(before) + len(after)
+            points = alphabet()[np.frombuffer("".join(before + texts[i] + after for i in at).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].reshape(len(at), row)
+            others = (points[:, 1:-1] == OTHER).sum(1)  # one of some ten thousand characters each
+            for i, x in zip(at, (self.logp[points[:, :-1] * ALPHABET + points[:, 1:]].sum(1) - 9.0 * others).tolist()):
+                out[i] = x
+        return out
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int]]:
@@ -170,6 +179,12 @@ def translation(wrong: str, right: str) -> dict[int, str]:
     return {ord(c): byte_table(right)[b] for c, b in to_bytes(wrong).items()}
 
 
+@lru_cache(None)
+def encodings_of(char: str) -> frozenset[str]:
+    """The encodings that have a character."""
+    return frozenset(n for n in SINGLE_BYTE if char in to_bytes(n))
+
+
 MAPPINGS = [(w, "utf-8") for w in SINGLE_BYTE] + [(w, r) for w in SINGLE_BYTE for r in SINGLE_BYTE if w != r]
 
 
@@ -191,20 +206,23 @@ class Repairer:
     """Finds and repairs the garbled runs of texts."""
 
     def __init__(self, model: PairModel, least_gain: float = 5.0, least_utf8_gain: float = 1.5, keep: int = 200_000):
-        self.model, self.least_gain, self.least_utf8_gain, self.keep = model, least_gain, least_utf8_gain, keep
+        self.model, self.keep = model, keep
+        self.least = [least_utf8_gain if right == "utf-8" else least_gain for _, right in MAPPINGS]
         self.gains: dict[tuple[str, str, str], tuple[list[int], dict[int, tuple[float, str]]]] = {}
 
     def tried(self, piece: str, before: str, after: str) -> tuple[list[int], dict[int, tuple[float, str]]]:
         """The mappings that gain on a piece, and (gain, new text) of each that can be undone on it."""
         key = (piece, before, after)
         if (found := self.gains.get(key)) is None:
-            base = self.model.likelihood(piece, before, after)
-            undone, seen = {}, {}
+            undone: dict[int, tuple[float, str]] = {}
+            gaining: list[tuple[int, str]] = []
+            possible = frozenset.intersection(*[encodings_of(c) for c in set(piece)])
             for k, (wrong, right) in enumerate(MAPPINGS):
+                if wrong not in possible:
+                    continue
                 new = undo(piece, wrong, right)
                 if new is None or new == piece:
                     continue
-                longer = (len(piece) - len(new)) * CHARACTER_COST
                 if right == "utf-8":
                     # garbled twice: what lies between is as improbable as the text itself
                     while (again := undo(new, wrong, right)) not in (None, new):
@@ -214,9 +232,12 @@ class Repairer:
                 if right in CYRILLIC and (len(piece) < 3 or not regex.search(r"\p{Cyrillic}{3}", new)):
                     undone[k] = 0.0, new  # a letter or two among others may be anything: no evidence
                     continue
-                if new not in seen:
-                    seen[new] = self.model.likelihood(new, before, after) - base - longer
-                undone[k] = seen[new], new
+                gaining.append((k, new))
+            if gaining:
+                texts = list(dict.fromkeys([piece, *(new for _, new in gaining)]))
+                seen = dict(zip(texts, self.model.likelihoods(texts, before, after)))
+                for k, new in gaining:
+                    undone[k] = seen[new] - seen[piece] - (len(piece) - len(new)) * CHARACTER_COST, new
             found = [k for k, (gain, _) in undone.items() if gain > 0], undone
             if len(self.gains) >= self.keep:
                 self.gains.clear()
@@ -231,9 +252,17 @@ class Repairer:
         odd = score > 0
         if not (beyond & (odd[:-1] | odd[1:])).any():
             return text, 0, set(), bool(LOST.search(text))
+        pieces = [(m.start(), m.end()) for m in BEYOND.finditer(text)]
+        # what a mapping gains on all pieces bounds what it gains on those inside of runs: most texts end here
+        bound: dict[int, float] = {}
+        for b, e in pieces:
+            gaining, undone = self.tried(text[b:e], text[b - 1 : b] or " ", text[e : e + 1] or " ")
+            for k in gaining:
+                bound[k] = bound.get(k, 0.0) + undone[k][0]
+        if not any(gain >= self.least[k] for k, gain in bound.items()):
+            return text, 0, set(), bool(LOST.search(text))
         done: dict[tuple[int, int], str] = {}
         mistakes: set[str] = set()
-        pieces = [(m.start(), m.end()) for m in BEYOND.finditer(text)]
         runs: list[list[tuple[tuple[int, int], dict[int, tuple[float, str]]]]] = []
         useful: set[int] = set()  # a mapping that gains nowhere can't be the mistake
         at = 0
@@ -254,7 +283,7 @@ class Repairer:
         whole = {k: sum(s[k] for s in sums) for k in useful}
         for inside, gained in zip(runs, sums):
             best = max(gained, key=lambda k: gained[k] + 0.2 * max(0.0, whole[k]))
-            least = self.least_utf8_gain if MAPPINGS[best][1] == "utf-8" else self.least_gain
+            least = self.least[best]
             if gained[best] >= least or (gained[best] >= 0 and whole[best] >= 2 * least):
                 for span, undone in inside:
                     if best in undone:
@@ -268,16 +297,21 @@ class Repairer:
         return new_text, len(done), mistakes, bool(LOST.search(new_text))
 
     def repair(self, text: str) -> tuple[str, int, str, bool] | None:
-        """(text set right, places, mistakes, lost) of a garbled text, else null. Text that was garbled twice takes two rounds."""
+        """(text set right, places, mistakes, lost) of a garbled text, else null.
+
+        Text that was garbled several times takes as many rounds; they end when nothing changes any
+        more, or when a text comes that was there before.
+        """
         if text.isascii():
             return None
-        places, all_mistakes, lost = 0, [], False
-        for _ in range(3):
+        places, all_mistakes, lost, seen = 0, [], False, {text}
+        while True:
             text, n, mistakes, lost = self.once(text)
             places += n
             all_mistakes += sorted(mistakes)
-            if not n:
+            if not n or text in seen:
                 break
+            seen.add(text)
         return (text, places, ", ".join(dict.fromkeys(all_mistakes)), lost) if places or lost else None
 
 
