@@ -2,7 +2,8 @@
 
 Rows are first put into classes by cheap invariants that every rewriting keeps (number of
 letters and digits, then their histogram). Each dearer key is made only for rows whose class
-still has several members, so that most rows never pay for it.
+still has several members, so that most rows never pay for it. Scopes that hold a large share of all
+rows go another way than the rest, in which no task gets them whole.
 
 Nulls: a row with a null scope or text takes no part. Empty texts are equal to each other.
 Repeated ids come out once. Extra columns are ignored, so that their names can't clash.
@@ -11,14 +12,17 @@ An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from searchlake.operators.skew import heavy_key_hashes, key_hash, salt_column
 from searchlake.session import table
 
+SALTS = 32
+
 
 def kept_letters(text: Column) -> Column:
     """A text's letters a-z, in lower case, and digits. Stripped first: lower() makes a-z of other letters."""
@@ -35,35 +39,51 @@ def canonical_url(url: Column) -> Column:
 
 
 def _several(df: DataFrame, keys: Sequence[str], scope: Sequence[str], heavy: Sequence[int]) -> DataFrame:
-    """The rows whose class by `keys` has more than one member; classes of heavy scopes are probed in salts."""
-    salts = 32
+    """The rows of heavy scopes whose class by `keys` has more than one member, probed in salts."""
     classes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    if not heavy:
-        return df.join(classes, list(keys), "left_semi")
-    copies = F.when(key_hash(scope).isin(list(heavy)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    classes = classes.withColumn("__salt", F.explode(copies))
-    return df.withColumn("__salt", salt_column(scope, heavy, ["id"], salts)).join(classes, [*keys, "__salt"], "left_semi").drop("__salt")
+    classes = classes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("__salt", salt_column(scope, heavy, ["id"], SALTS)).join(classes, [*keys, "__salt"], "left_semi").drop("__salt")
+
+
+def _letters(text: Column) -> Column:
+    """The sorted letters are the histogram, written out; its hash keeps the key short."""
+    return F.md5(F.array_join(F.array_sort(F.split(kept_letters(text), "")), ""))
+
+
+def _by_scope(rows: DataFrame, canonical: Callable[[Column], Column]) -> DataFrame:
+    """Refinement where no scope is heavy: rows are laid out by scope once, and each level counts its classes in place."""
+
+    def several(df: DataFrame, *keys: str) -> DataFrame:
+        return df.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy("scope", *keys))).where("__n > 1").drop("__n")
+
+    rows = several(rows.withColumn("length", F.length(F.regexp_replace("text", "[^A-Za-z0-9]", ""))), "length")
+    rows = several(rows.withColumn("letters", _letters(F.col("text"))), "length", "letters")
+    rows = rows.select("id", "scope", F.sha2(canonical(F.col("text")), 256).alias("key"))
+    once = rows.withColumn("__k", F.row_number().over(W.partitionBy("scope", "key", "id").orderBy("id"))).where("__k = 1")
+    each = W.partitionBy("scope", "key")
+    return once.select("scope", "id", F.min("id").over(each).alias("first_id"), F.count(F.lit(1)).over(each).alias("n_copies")).where("n_copies > 1")
+
+
+def _by_class(rows: DataFrame, canonical: Callable[[Column], Column], heavy: Sequence[int]) -> DataFrame:
+    """Refinement of heavy scopes: classes are counted before they are shuffled, and their rows found again in salts."""
+    rows = _several(rows.withColumn("length", F.length(F.regexp_replace("text", "[^A-Za-z0-9]", ""))), ["scope", "length"], ["scope"], heavy)
+    rows = _several(rows.withColumn("letters", _letters(F.col("text"))), ["scope", "length", "letters"], ["scope"], heavy)
+    rows = rows.select("id", "scope", F.sha2(canonical(F.col("text")), 256).alias("key"))
+    classes = rows.groupBy("scope", "key").agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("n_copies")).where("n_copies > 1")
+    copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    rows = rows.withColumn("__salt", salt_column(["scope"], heavy, ["id"], SALTS))
+    return rows.join(classes.withColumn("__salt", F.explode(copies)), ["scope", "key", "__salt"]).select("scope", "id", "first_id", "n_copies").distinct()
 
 
-def copy_classes(df: DataFrame, id_col: str, scope: str, text: str, canonical=canonical_url, share: float = 0.02) -> DataFrame:
+def copy_classes(df: DataFrame, id_col: str, scope: str, text: str, canonical: Callable[[Column], Column] = canonical_url, share: float = 0.02) -> DataFrame:
     """(scope, id, first_id, n_copies) of each row that has a copy; first_id is the smallest id of its class."""
     rows = df.where(F.col(scope).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(scope).alias("scope"), F.col(text).alias("text"))
     heavy = heavy_key_hashes(rows.select("scope"), ["scope"], share)
-    by_length = rows.withColumn("length", F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")))
-    rows = _several(by_length, ["scope", "length"], ["scope"], heavy)
-    # the sorted letters are the histogram, written out; two halves of a hash keep the key short
-    letters = F.array_join(F.array_sort(F.split(kept_letters(F.col("text")), "")), "")
-    rows = _several(rows.withColumn("letters", F.md5(letters)), ["scope", "length", "letters"], ["scope"], heavy)
-    rows = rows.select("id", "scope", F.sha2(canonical(F.col("text")), 256).alias("key"))
-    classes = rows.groupBy("scope", "key").agg(F.min("id").alias("first_id"), F.countDistinct("id").alias("n_copies")).where("n_copies > 1")
-    if heavy:
-        salts = 32
-        copies = F.when(key_hash(["scope"]).isin(heavy), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        classes = classes.withColumn("__salt", F.explode(copies))
-        rows = rows.withColumn("__salt", salt_column(["scope"], heavy, ["id"], salts))
-        return rows.join(classes, ["scope", "key", "__salt"]).select("scope", "id", "first_id", "n_copies").distinct()
-    return rows.join(classes, ["scope", "key"]).select("scope", "id", "first_id", "n_copies").distinct()
+    if not heavy:
+        return _by_scope(rows, canonical)
+    is_heavy = key_hash(["scope"]).isin(heavy)
+    return _by_scope(rows.where(~is_heavy), canonical).unionByName(_by_class(rows.where(is_heavy), canonical, heavy))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,12 +94,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Each page of each result list once, with the number of its rows."""
-    rows = table(spark, folder, "search_results").where("query_id IS NOT NULL AND url IS NOT NULL")
-    found = copy_classes(rows, "result_id", "query_id", "url")
-    later = found.where("id > first_id").select(F.col("id").alias("result_id"))
-    counts = found.where("id = first_id").select(F.col("id").alias("result_id"), "n_copies")
-    firsts = rows.select("query_id", "result_id", "url").join(later, "result_id", "left_anti")
-    return firsts.join(counts, "result_id", "left").select("query_id", "result_id", "url", F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    rows = table(spark, folder, "search_results").where("query_id IS NOT NULL AND url IS NOT NULL AND result_id IS NOT NULL")
+    found = copy_classes(rows, "result_id", "query_id", "url").select(F.col("id").alias("result_id"), "first_id", "n_copies")
+    both = rows.select("query_id", "result_id", "url").join(found, "result_id", "left").where("first_id IS NULL OR first_id = result_id")
+    return both.select("query_id", "result_id", "url", F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_pages": p2_pages}
