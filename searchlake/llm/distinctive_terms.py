@@ -6,7 +6,8 @@ of the expected one, and the adjusted residual also divides by the root of its v
 (1 - page share) * (1 - term share). All of it is arithmetic on columns.
 
 The term with the highest tf * ln(N / df) of a page, which p4_found asks for, isn't always the one
-with the highest residual; p4_found compares the operator's rows by that formula in an exact step.
+with the highest residual, and no bound between the two holds; p4_found picks among the operator's
+cells with their term margins by that formula in an exact step.
 
 Nulls: rows without term or cell take no part. Cells that come several times count once, with
 the largest tf. A table of one page or one term has residuals of 0. An empty table gives no rows.
@@ -22,21 +23,30 @@ from searchlake.operators.skew import heavy_key_hashes, salted_join
 from searchlake.session import materialize, table
 
 
+def contingency(index: DataFrame, term: str = "term", value: str = "_value", share: float = 0.01) -> tuple[DataFrame, list[int]]:
+    """The cells (url, term, tf) of the table of pages and terms, written once, and the heavy terms' hashes."""
+    used = index.where(F.col(term).isNotNull() & F.col(value).isNotNull()).select(F.col(term).alias("term"), F.col(value).alias("_value"))
+    heavy_terms = heavy_key_hashes(used, ["term"], share, posting_count(F.col("_value")))
+    return materialize(index_cells(used), "cells"), heavy_terms
+
+
+def with_term_margins(cells: DataFrame, heavy_terms: list[int]) -> DataFrame:
+    """Cells with df and the total of their term; rows of heavy terms are spread over salts in the join."""
+    terms = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("double").alias("term_total"))
+    return salted_join(cells, terms, ["term"], ["url"], heavy_terms)
+
+
 def term_residuals(index: DataFrame, term: str = "term", value: str = "_value", share: float = 0.01) -> DataFrame:
     """(url, term, tf, df, n_pages, expected, residual, adjusted), one row a cell of the contingency table.
 
-    Margins are small aggregates; rows of terms that hold more than `share` of the postings are
-    spread over salts in the join with them.
+    Margins are small aggregates; rows of terms or pages that hold more than `share` of the postings
+    are spread over salts in the joins with them.
     """
-    used = index.where(F.col(term).isNotNull() & F.col(value).isNotNull()).select(F.col(term).alias("term"), F.col(value).alias("_value"))
-    heavy_terms = heavy_key_hashes(used, ["term"], share, posting_count(F.col("_value")))
-    cells = materialize(index_cells(used), "cells")
-    terms = cells.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("double").alias("term_total"))
+    cells, heavy_terms = contingency(index, term, value, share)
     pages = cells.groupBy("url").agg(F.sum("tf").cast("double").alias("page_total"))
     n_pages, total = pages.agg(F.count(F.lit(1)), F.sum("page_total")).first()
     heavy_pages = heavy_key_hashes(cells, ["url"], share)
-    rows = salted_join(cells, terms, ["term"], ["url"], heavy_terms)
-    rows = salted_join(rows, pages, ["url"], ["term"], heavy_pages)
+    rows = salted_join(with_term_margins(cells, heavy_terms), pages, ["url"], ["term"], heavy_pages)
     expected = F.col("page_total") * F.col("term_total") / F.lit(total)
     spare = (1 - F.col("page_total") / F.lit(total)) * (1 - F.col("term_total") / F.lit(total))
     residual = (F.col("tf") - F.col("expected")) / F.sqrt("expected")
@@ -46,9 +56,14 @@ def term_residuals(index: DataFrame, term: str = "term", value: str = "_value",
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Each page's term with the highest tf * ln(N / df), rounded to 6 decimals, then the first in byte order."""
-    rows = term_residuals(table(spark, folder, "pt_index")).where("df >= 2")
-    score = F.round(F.col("tf") * F.log(F.col("n_pages") / F.col("df")), 6)
+    """Each page's term with the highest tf * ln(N / df), rounded to 6 decimals, then the first in byte order.
+
+    It takes the operator's cells and term margins; the totals of pages don't enter the formula.
+    """
+    cells, heavy_terms = contingency(table(spark, folder, "pt_index"))
+    n_pages = cells.agg(F.countDistinct("url")).first()[0]
+    rows = with_term_margins(cells, heavy_terms).where("df >= 2")
+    score = F.round(F.col("tf") * F.log(F.lit(n_pages) / F.col("df")), 6)
     best = rows.groupBy("url").agg(F.min(F.struct((-score).alias("s"), "term")).alias("b"))
     return best.select("url", F.col("b.term").alias("term"))
 
