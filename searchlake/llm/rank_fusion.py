@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from searchlake.operators.skew import heavy_key_hashes, salted_join
+from searchlake.operators.skew import heavy_key_hashes, heavy_share, salted_join
 from searchlake.session import materialize, table
 
 SCORES = ("total_score", "tfidf_score", "page_rank_score")
@@ -32,14 +32,15 @@ RANGES = 256
 def _with_ranges(values: DataFrame, hot_rows: int) -> DataFrame:
     """Values with `cut`, the number of range bounds above them; 0 outside hot groups.
 
-    Groups are hot from max(hot_rows, a thousandth of all rows) on: at most 1000 of them, of RANGES
-    bounds each, come to the driver, which makes the bounds the same for all tasks.
+    Groups are hot from max(hot_rows, a thousandth of all rows, less on a large cluster) on, so that
+    their number is bounded by the cluster. Their bounds, RANGES each, come to the driver, which makes
+    them the same for all tasks.
     """
     sizes = values.groupBy("grp", "dim").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if total <= hot_rows:
         return values.withColumn("cut", F.lit(0))
-    hot = sizes.where(F.col("n") > max(hot_rows, total // 1000)).select("grp", "dim")
+    hot = sizes.where(F.col("n") > max(hot_rows, int(total * heavy_share(values.sparkSession, 0.001)))).select("grp", "dim")
     steps = [i / RANGES for i in range(1, RANGES)]
     bounds = values.join(F.broadcast(hot), ["grp", "dim"]).groupBy("grp", "dim").agg(F.percentile_approx("score", steps, 20000).alias("bounds"))
     fixed = values.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
