@@ -62,7 +62,8 @@ class TermCountStore:
         self.state = json.loads(text) if text else {"buckets": buckets, "next": 0, "done": [], "pages": 0, "cells": {}, "terms": {}, "urls": {}}
 
     def _bucket(self, *columns: str) -> Column:
-        return F.pmod(F.xxhash64(*columns), F.lit(self.state["buckets"])).cast("int").alias("bucket")
+        """The number of the partition that Spark's own hash gives a row, so that a shuffle by these columns makes one task a bucket."""
+        return F.pmod(F.hash(*columns), F.lit(self.state["buckets"])).cast("int").alias("bucket")
 
     def _write(self, df: DataFrame, kind: str, k: int) -> list[str]:
         """Write rows by bucket as part k, and say which buckets they have. What a cut-off batch left there is replaced."""
@@ -90,8 +91,8 @@ class TermCountStore:
         log = self._read("cells", buckets)
         if log is None:
             return None
-        last = log.groupBy("bucket", "term", "url").agg(F.max_by(F.struct("tf"), "part").alias("c"))
-        return last.select("bucket", "term", "url", "c.tf").where("tf IS NOT NULL")
+        last = log.select("term", "url", "tf", "part").repartition(self.state["buckets"], "term", "url").groupBy("term", "url").agg(F.max_by(F.struct("tf"), "part").alias("c"))
+        return last.select(self._bucket("term", "url"), "term", "url", "c.tf").where("tf IS NOT NULL")
 
     def apply(self, batch: DataFrame, rule: Callable[[Column, Column], Column] = replace_rule, batch_id: str | None = None) -> bool:
         """Take in a batch of cells (term, url, tf), tf being null for deleted ones; false if its id was taken in before."""
@@ -99,15 +100,15 @@ class TermCountStore:
         batch_id = f"batch {k}" if batch_id is None else batch_id
         if batch_id in self.state["done"]:
             return False
-        named = batch.where("term IS NOT NULL AND url IS NOT NULL").select("term", "url", "tf", self._bucket("term", "url"))
-        # one shuffle: rows lie by bucket, which all that follows groups and joins by
-        new = named.repartition(n, "bucket").groupBy("bucket", "term", "url").agg(F.max("tf").alias("new"))
+        named = batch.where("term IS NOT NULL AND url IS NOT NULL").select("term", "url", "tf")
+        # one shuffle: a task has the rows of one bucket
+        new = named.repartition(n, "term", "url").groupBy("term", "url").agg(F.max("tf").alias("new")).withColumn("bucket", self._bucket("term", "url"))
         old = None
         if self.state["cells"]:
             touched = self._write(new, "named", k)
             new = self.spark.read.schema(new.schema).parquet(f"{self.path}/named/part={k}")
             old = self.cells(touched)
-        both = new.withColumn("old", F.lit(None).cast("long")) if old is None else new.join(old.withColumnRenamed("tf", "old"), ["bucket", "term", "url"], "left")
+        both = new.withColumn("old", F.lit(None).cast("long")) if old is None else new.repartition(n, "term", "url").join(old.select("term", "url", F.col("tf").alias("old")), ["term", "url"], "left")
         changed = both.withColumn("tf", rule(F.col("old"), F.col("new"))).where("NOT (tf <=> old)").select("bucket", "term", "url", "tf", "old")
         state = json.loads(json.dumps(self.state)) | {"next": k + 1, "done": [*self.state["done"], batch_id]}
         for b in self._write(changed, "cells", k):
@@ -126,7 +127,8 @@ class TermCountStore:
     def _merge(self, state: dict, kind: str, deltas: DataFrame, k: int) -> int:
         """Add deltas to the counts of the buckets that they touch; by how many keys the counts have grown."""
         key, *sums = deltas.columns
-        deltas = deltas.select(self._bucket(key), key, *sums).repartition(self.state["buckets"], "bucket")
+        n = self.state["buckets"]
+        deltas = deltas.repartition(n, key).select(self._bucket(key), key, *sums)
         first = not self.state[kind]
         touched = self._write(deltas, kind if first else f"{kind}-deltas", k)
         if not touched:
@@ -135,8 +137,8 @@ class TermCountStore:
         if old is not None:
             schema = deltas.schema
             deltas = self.spark.read.schema(schema).parquet(f"{self.path}/{kind}-deltas/part={k}")
-            both = deltas.unionByName(old.select("bucket", key, *sums)).repartition(self.state["buckets"], "bucket").groupBy("bucket", key).agg(*[F.sum(c).alias(c) for c in sums])
-            self._write(both.where("pages > 0"), kind, k)
+            both = deltas.unionByName(old.select("bucket", key, *sums)).repartition(n, key).groupBy(key).agg(*[F.sum(c).alias(c) for c in sums])
+            self._write(both.where("pages > 0").select(self._bucket(key), key, *sums), kind, k)
         elif not first:
             self._write(self.spark.read.schema(deltas.schema).parquet(f"{self.path}/{kind}-deltas/part={k}").where("pages > 0"), kind, k)
         now = {n.partition("=")[2] for n in _names(self.spark, f"{self.path}/{kind}/part={k}") if n.startswith("bucket=")}
@@ -155,7 +157,7 @@ class TermCountStore:
         long = [b for b, parts in self.state["cells"].items() if len(parts) > 1]
         if not long:
             return
-        now = self._write(self.cells(long).withColumn("old", F.lit(None).cast("long")).repartition(self.state["buckets"], "bucket"), "cells", k)
+        now = self._write(self.cells(long).withColumn("old", F.lit(None).cast("long")), "cells", k)
         cells = {b: parts for b, parts in self.state["cells"].items() if b not in long} | {b: [k] for b in now}
         self._commit(json.loads(json.dumps(self.state)) | {"next": k + 1, "cells": cells})
 
