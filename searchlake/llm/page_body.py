@@ -3,8 +3,17 @@
 Texts are rendered as a browser lays them out: a tree builder closes the elements that HTML lets
 open, leaves out what isn't visible, and emits the text of each block with its source line, with
 spacing between blocks, marks of list items and cells of tables in aligned columns. Each emitted
-block knows the regions that it lies in. Lines of navigation regions, and lines that hold a notice,
-menu, promotion, sharing or legal line alone or beside own text, aren't the page's own.
+block knows the regions and the structure that it lies in.
+
+What isn't the page's own is judged by layout. Blocks are cut at the ends of sentences, and each
+piece is scored by how it stands there: in a region of navigation, in a list, table, code or formula
+(which is content), at the edge of the text, with separators, few words, many capitals, no end of a
+sentence, the site's name, and on how many sites the same piece, digits aside, stands. The wording is
+learned from the collection: words and pairs of words are weighed by the layout of all pieces that
+hold them, and once more by the scores that come of that; a piece is foreign if its best run of words
+and its layout say so. That finds furniture beside own text, of any language and wording that the
+collection has. Known wordings, four languages of notices, menus and buttons, are one more feature,
+for collections too small to learn from; it can be left out.
 
 Nulls: a null text has no lines; a null url only means that the name of the site isn't known.
 Empty lines are no cases. Repeated rows come out once. Cut tags are no text; the lines after them are.
@@ -17,16 +26,19 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from searchlake.session import spread, table
+from searchlake.operators.skew import heavy_key_hashes, salted_join
+from searchlake.session import materialize, spread, table
 
 #: Element classes of HTML (fixed values).
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = set("script style head title template noscript iframe object svg select textarea option".split())
 BLOCKS = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html li main nav ol p pre section table td th tr ul".split())
 REGIONS = set("nav footer aside".split())
+#: Elements whose text is content by its structure, unless they lie in a region.
+STRUCTURE = set("li td th dt dd pre code h1 h2 h3 h4 h5 h6".split())
 #: What an open element is closed by (fixed values of the standard).
 CLOSED_BY = {
     "p": BLOCKS - {"td", "th", "tr", "li", "dd", "dt", "html", "body"},
@@ -46,12 +58,12 @@ LONG_TAG = regex.compile(r"""</?[A-Za-z][\w:-]*+(?:\s+[\w:@.-]++\s*=\s*(?:"[^"<>
 
 
 class Block:
-    """A piece of visible text: its source line, text, region, the cell or item that it begins, and if it is a link."""
+    """A piece of visible text: its source line, text, region, the cell or item that it begins, if it is a link, and if it stands in a structure."""
 
-    __slots__ = ("line", "text", "region", "mark", "link")
+    __slots__ = ("line", "text", "region", "mark", "link", "structure")
 
-    def __init__(self, line: int, text: str, region: str, mark: str, link: bool = False):
-        self.line, self.text, self.region, self.mark, self.link = line, text, region, mark, link
+    def __init__(self, line: int, text: str, region: str, mark: str, link: bool = False, structure: bool = False):
+        self.line, self.text, self.region, self.mark, self.link, self.structure = line, text, region, mark, link, structure
 
 
 class Renderer(HTMLParser):
@@ -93,13 +105,13 @@ class Renderer(HTMLParser):
         names = {name for name, _, _ in self.open}
         pre, link = "pre" in names, "a" in names
         for k, text in enumerate(data.split("\n")):
+            if k:
+                self.mark = self.mark or "line"
             if not hidden and text.strip():
-                self.blocks.append(Block(line + k, text if pre else regex.sub(r"\s+", " ", text), region, self.mark if k == 0 else self.mark or "line", link))
+                self.blocks.append(Block(line + k, text if pre else regex.sub(r"\s+", " ", text), region, self.mark, link, bool(names & STRUCTURE)))
                 self.mark = ""
             elif not hidden and text and not self.mark and k == 0 and self.blocks:
                 self.blocks[-1].text += " "
-            if k:
-                self.mark = self.mark or "line"
 
 
 def without_cut_tags(text: str) -> str:
@@ -112,6 +124,8 @@ def without_cut_tags(text: str) -> str:
 
 def render(text: str) -> list[Block]:
     """The visible blocks of a text, which may be a whole page or a cut piece of one."""
+    if "<" not in text and "&" not in text:
+        return [Block(i, regex.sub(r"\s+", " ", x), "", "line") for i, x in enumerate(text.split("\n"), 1) if x.strip()]
     parser = Renderer()
     try:
         parser.feed(without_cut_tags(text))
@@ -243,52 +257,201 @@ def judged_lines(text: str) -> list[tuple[int, str, str | None]]:
 
 def page_body(text: str) -> str:
     """The own text of a page or preview, laid out: its rendered lines outside of regions that aren't furniture or links alone."""
+    def own(line: list[Block]) -> bool:
+        return not any(b.region for b in line) and not all(b.link for b in line) and not line_furniture("".join(b.text for b in line).strip())
+
+    return layout([b for line in rendered_lines(text) if own(line) for b in line])
+
+
+#: What stands for the name of the site in a piece (a character that texts don't use).
+SITE = "\ue000"
+#: Ends of sentences within a line, tokens, and lines that markup or code makes content.
+SENTENCE_END = regex.compile(r"(?<=[.!?…][\")»”]?)\s+(?=[\p{Lu}\d¿¡«“\"©☰])")
+TOKEN = regex.compile(r"\ue000|\p{L}+(?:['’]\p{L}+)*|[|·•»>/©☰↑×–—:;]|\d+|[.!?…]")
+CONTENT = regex.compile(r"^(?:#{1,6}\s|[|!{}]|[*+;:-]+\s*\S|\d+[.)]\s|```|\\|\[\[|\{\{|>\s|={2,}|\.\.\.$)|[={}\\_`\[\]*^]|\w\(|''|^<|<[\s=]|&\w+;")
+ENDED = regex.compile(r"[.!?…][\"”»)]?$")
+#: Tags that were escaped, or cut at a text's beginning, and are text to a browser.
+TAG_TEXT = regex.compile(r"</?[A-Za-z][^<>\n]*>|</?[A-Za-z]\w*$|^(?:[a-z]{1,12}\d?|[\w-]*=\"?[^\s\"<>=]*\"?)/?>")
+SEPARATORS = frozenset("|·•»>/☰↑×©")
+#: An n-gram is weighed if it is in at least LEAST pieces and in this share of all, which bounds their number.
+LEAST, LEAST_SHARE = 3, 1 / 20_000
+#: A piece is foreign above this score.
+FOREIGN = 3.0
+PIECES = "site string, line long, block long, edge boolean, text string, base double, ended boolean, content boolean, region boolean, known boolean"
+
+
+def rendered_lines(text: str) -> list[list[Block]]:
+    """The blocks of each rendered line of a text."""
     lines: list[list[Block]] = []
     for b in render(text):
         if b.mark or not lines:
             lines.append([])
         lines[-1].append(b)
+    return lines
+
+
+def has_known_wording(text: str, sentence: bool) -> bool:
+    """Whether a piece has a known wording; one that goes on in small letters is no evidence against a sentence of some length."""
+    for pattern in FURNITURE.values():
+        if (m := pattern.search(text)) and not (sentence and text[m.end() :].lstrip()[:1].islower()):
+            return True
+    return False
+
+
+def pieces(text: str, label: str | None, known: bool = True) -> list[tuple]:
+    """The pieces of a text, as rows of PIECES: `base` is what their own layout says, more for furniture."""
+    name = regex.compile(regex.escape(label), regex.I) if label else None
+    found, code = [], False
+    for block, line in enumerate(rendered_lines(text)):
+        visible = TAG_TEXT.sub(" ", "".join(b.text for b in line)).strip()
+        b = line[0]
+        link, structure, region = all(x.link for x in line), all(x.structure for x in line), any(x.region for x in line)
+        fence = visible.startswith("```")
+        code ^= fence
+        for t in SENTENCE_END.split(visible):
+            tokens = ["0" if x[0].isdigit() else x for x in TOKEN.findall(name.sub(SITE, t) if name else t)]
+            if not any(x[0].isalnum() or x in "©☰" or x == SITE for x in tokens):
+                continue
+            content = not region and (fence or code or structure or bool(CONTENT.search(t)))
+            words = [x for x in tokens if x[0].isalpha() or x == SITE]
+            ended = bool(ENDED.search(t))
+            base = (-3.0 if ended else 1.2) + 1.2 * min(3, sum(x in SEPARATORS for x in tokens)) + (1.0 if len(words) <= 5 else 0.0 if len(words) < 10 else -1.0)
+            base += 1.5 if len(words) > 2 and sum(x[0].isupper() for x in words[1:]) > 0.6 * (len(words) - 1) else 0.0
+            base += 1.0 if SITE in tokens else 0.0
+            base += 1.5 if link else 0.0
+            hit = known and not content and has_known_wording(t, ended and len(tokens) >= 7)
+            found.append([label, b.line, block, False, " ".join(tokens), base, ended, content, region, hit])
+    for at in {0, len(found) - 1} if found else ():
+        found[at][3] = True
+    return [tuple(f) for f in found]
+
+
+def _cut(batches: Iterator[pd.DataFrame], known: bool) -> Iterator[pd.DataFrame]:
+    names = ["id", *(c.split()[0] for c in PIECES.split(", "))]
+    for batch in batches:
+        yield pd.DataFrame([(i, *p) for i, url, text in zip(batch["id"], batch["url"], batch["text"]) if text for p in pieces(text, site_label(url), known)], columns=names)
+
+
+def grams(text: Column) -> Column:
+    """The distinct words and pairs of words of a piece."""
+    words = F.split(F.lower(text), " ")
+    framed = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
+    pairs = F.transform(F.arrays_zip(F.slice(framed, 1, F.size(framed) - 1).alias("a"), F.slice(framed, 2, F.size(framed) - 1).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    return F.array_distinct(F.concat(words, pairs))
+
+
+def weigh(scored: DataFrame) -> dict[str, float]:
+    """The log odds of each frequent n-gram, of all pieces (text, n, p) with p being how foreign they seem."""
+    total, foreign = scored.agg(F.sum("n"), F.sum(F.col("n") * F.col("p"))).first()
+    if not total:
+        return {}
+    each = scored.select(F.explode(grams(F.col("text"))).alias("gram"), "n", (F.col("n") * F.col("p")).alias("f"))
+    counts = each.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).where(F.col("n") >= max(LEAST, total * LEAST_SHARE))
+    odds = F.log((F.col("f") + 0.3) / (foreign + 1)) - F.log((F.col("n") - F.col("f") + 0.3) / (total - foreign + 1))
+    return {r[0]: r[1] for r in counts.select("gram", odds).collect()}  # at most 1 / LEAST_SHARE times a piece's n-grams
+
+
+def best_run(text: str, weights: dict[str, float]) -> float:
+    """The weight of the best run of words that may be furniture: a whole piece or much of it, or a run between capitals or signs."""
+    shown = text.split(" ")
+    words = ["^", *(w.lower() for w in shown), "$"]
+    values = [0.6 * weights.get(f"{a} {b}", -0.3) + (0.4 * weights.get(b, -0.3) if b != "$" else 0.0) for a, b in zip(words, words[1:])]
+    best, total, begin = 0.0, 0.0, 0
+    for k, v in enumerate(values):
+        if total <= 0:
+            total, begin = 0.0, k
+        total += v
+        if total > best and begin < len(shown):
+            end = min(k + 1, len(shown))
+            bounded = (begin == 0 or not shown[begin][0].islower()) and (end == len(shown) or not shown[end][0].islower())
+            if bounded or end - begin >= 0.4 * len(shown):
+                best = total
+    return best
+
+
+def _score(batches: Iterator[pd.DataFrame], weights: dict[str, float]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        runs = [0.0 if c else best_run(t, weights) for t, c in zip(batch["text"], batch["content"])]
+        yield batch.assign(score=runs + 0.5 * batch["seed"] - 2.0)
 
-    def own(line: list[Block]) -> bool:
-        return not any(b.region for b in line) and not all(b.link for b in line) and not line_furniture("".join(b.text for b in line).strip())
-
-    return layout([b for line in lines if own(line) for b in line])
 
+def foreign_pieces(texts: DataFrame, known: bool = True) -> DataFrame:
+    """(id, line, block) of the pieces of texts (id, url, text) that aren't the page's own.
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Equal pieces are scored once, so that no frequent one is a burden. `known` is the feature of known
+    wordings.
+    """
+    kind = dict(texts.dtypes)["id"]
+    cut = materialize(spread(texts).mapInPandas(lambda b: _cut(b, known), f"id {kind}, {PIECES}"), "pieces")
+    layout_of = ["text", "base", "ended", "content", "region", "known"]
+    sites = cut.where("NOT content").groupBy(*layout_of, "site").agg(F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("edges"))
+    alike = sites.groupBy(*layout_of).agg(F.sum("n").alias("n"), F.sum("edges").alias("edges"), F.count(F.lit(1)).alias("sites"))
+    spreading = F.least(F.log2("sites"), F.lit(4.0)) * F.when(F.col("ended"), 0.3).otherwise(1.0) - F.when(F.col("sites") == 1, 0.5).otherwise(0.0)
+    seed = F.when(F.col("region"), 6.0).otherwise(F.col("base") + spreading + F.col("edges") / F.col("n") - 0.6 + F.when(F.col("known"), 4.0).otherwise(0.0))
+    alike = materialize(alike.withColumn("seed", seed), "alike")
+    # content by structure has none of the furniture's wording
+    own = cut.where("content").groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.lit(0.0))
+    logistic = lambda c: F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
+    context = texts.sparkSession.sparkContext
+    first = context.broadcast(weigh(alike.select("text", "n", logistic(F.col("seed")).alias("p")).unionByName(own)))
+    schema = f"{', '.join(f'{c} {t}' for c, t in alike.dtypes)}, score double"
+    scored = alike.mapInPandas(lambda b: _score(b, first.value), schema)
+    second = context.broadcast(weigh(scored.select("text", "n", logistic(F.col("score") - 1.0).alias("p")).unionByName(own)))
+    wording = F.when(F.col("known"), 6.0).otherwise(0.0)
+    foreign = alike.mapInPandas(lambda b: _score(b, second.value), schema).where(F.col("region") | (F.col("score") + wording > FOREIGN)).select("text", "ended", "region", "known").distinct()
+    keys = ["text", "ended", "region", "known"]
+    candidates = cut.where("NOT content").select("id", "line", "block", *keys)
+    found = salted_join(candidates, foreign, keys, ["id", "line"], heavy_key_hashes(candidates, keys, 0.01), how="left_semi")
+    return found.select("id", "line", "block")
+
+
+def _judge_titles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for i, url, title, preview in zip(batch["id"], batch["url"], batch["title"], batch["preview"]):
-            if preview:
-                rows += [(i, "preview", line, why) for line, _, why in judged_lines(preview) if why]
+        for i, url, title in zip(batch["id"], batch["url"], batch["title"]):
             if title and title.strip():
                 visible = " ".join(b.text.strip() for b in render(title))
-                if why := title_is_dressed(visible, site_label(url)) or line_furniture(visible):
-                    rows.append((i, "title", 1, why))
-        yield pd.DataFrame(rows, columns=["id", "field_name", "line_no", "why"])
+                if title_is_dressed(visible, site_label(url)) or line_furniture(visible):
+                    rows.append((i, "title", 1))
+        yield pd.DataFrame(rows, columns=["id", "field_name", "line_no"])
 
 
-def foreign_lines(df: DataFrame, id_col: str, url: str, title: str, preview: str) -> DataFrame:
-    """(id, field_name, line_no, why) of each line that isn't the page's own alone."""
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.col(c).alias(n) for n, c in (("url", url), ("title", title), ("preview", preview))])
-    return spread(rows).mapInPandas(_judge, f"id {dict(rows.dtypes)['id']}, field_name string, line_no long, why string")
+def foreign_lines(df: DataFrame, id_col: str, url: str, title: str, preview: str, known: bool = True) -> DataFrame:
+    """(id, field_name, line_no) of each line that isn't the page's own alone."""
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[F.col(c).alias(n) for n, c in (("url", url), ("title", title), ("text", preview))])
+    titles = spread(rows.select("id", "url", "title")).mapInPandas(_judge_titles, f"id {dict(rows.dtypes)['id']}, field_name string, line_no long")
+    lines = foreign_pieces(rows.select("id", "url", "text"), known).select("id", F.lit("preview").alias("field_name"), F.col("line").alias("line_no"))
+    return titles.unionByName(lines).distinct()
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each line of a preview or title that holds anything that isn't the page's own."""
     found = foreign_lines(table(spark, folder, "search_results"), "result_id", "url", "title", "preview")
-    return found.select(F.col("id").alias("result_id"), "field_name", "line_no").distinct()
+    return found.select(F.col("id").alias("result_id"), "field_name", "line_no")
 
 
 def _bodies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"page_id": batch["page_id"], "body": [None if t is None else page_body(t) for t in batch["html"]]})
+        bodies = []
+        for text, foreign in zip(batch["text"], batch["foreign"]):
+            foreign = set() if foreign is None else set(foreign)
+            lines = enumerate(rendered_lines(text) if text else [])
+            own = [b for k, line in lines if k not in foreign and not any(b.region for b in line) and not all(b.link for b in line) for b in line]
+            bodies.append(None if text is None else layout(own))
+        yield pd.DataFrame({"id": batch["id"], "body": bodies})
+
+
+def page_bodies(df: DataFrame, id_col: str, url: str, html: str, known: bool = True) -> DataFrame:
+    """(id, body): the own text of each page, laid out: its rendered lines without regions, lines of links alone, and foreign pieces."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("text"))
+    foreign = foreign_pieces(rows.where("id IS NOT NULL AND text IS NOT NULL"), known).groupBy("id").agg(F.collect_set("block").alias("foreign"))
+    both = rows.select("id", "text").join(foreign, "id", "left")
+    return both.mapInPandas(_bodies, f"id {dict(rows.dtypes)['id']}, body string")
 
 
 def p5_page_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """The main body of each page."""
-    pages = table(spark, folder, "pages").select("page_id", "html")
-    return spread(pages).mapInPandas(_bodies, "page_id long, body string")
+    return page_bodies(table(spark, folder, "pages"), "page_id", "url", "html").select(F.col("id").alias("page_id"), "body")
 
 
 QUERIES = {"p5_found": p5_found, "p5_page_bodies": p5_page_bodies}

@@ -256,3 +256,56 @@ def test_foreign_lines(spark, tmp_path):
     assert found == {(1, "preview", 3), (1, "preview", 4), (1, "preview", 5), (1, "preview", 7), (1, "title", 1), (5, "title", 1)}
     results(spark, []).write.parquet(f"{tmp_path}/none/search_results.parquet")
     assert pb.p5_found(spark, f"{tmp_path}/none").count() == 0
+
+
+NOUNS = "harbour kettle meadow signal orchard valley ledger lantern pigeon quarry basket anchor copper winter ladder pepper".split()
+VERBS = "keeps finds carries follows answers builds moves counts".split()
+FURNITURE = [
+    "Questo sito utilizza i cookie | Accetta tutto", "Zoeken · Contact · Sitemap · Privacybeleid", "Deel deze pagina: Post Afdrukken", "Meer van § Courant", "Inschrijven voor de nieuwsbrief", "Tutti i diritti riservati © 2019 §",
+    "Browse: Sport – Politik – Wetter – Kultur", "Menu » Notizie » Meteo » Annunci",
+]
+CONTENT = ["Copyright law changed in 1976 after long debate.", "The use of cookies in holiday baking goes back to 1600.", "A privacy policy was drafted in March after long talks.", "Most read the letter twice before they signed it in autumn."]
+
+
+def learned_fixture(n=400):
+    random.seed(12)
+    sentence = lambda: f"The {random.choice(NOUNS)} of {random.choice(NOUNS)}s {random.choice(VERBS)} {random.randint(2, 900)} {random.choice(NOUNS)}s near the {random.choice(NOUNS)}."
+    rows, want = [], set()
+    for i in range(n):
+        site = f"site{i % 25}"
+        lines = [(f"{sentence()} {sentence()}", False) for _ in range(random.randint(1, 4))]
+        if i % 7 == 0:
+            lines.insert(0, (CONTENT[i // 7 % len(CONTENT)], False))
+        for _ in range(random.randint(0, 2)):
+            text = random.choice(FURNITURE).replace("§", site.capitalize())
+            mixed = random.random() < 0.2
+            lines.insert(random.choice([0, len(lines)]), (f"{sentence()} {text}" if mixed else text, True))
+        want |= {(i, k) for k, (_, bad) in enumerate(lines, 1) if bad}
+        rows.append((i, f"https://www.{site}.example/{i}", None, "\n".join(t for t, _ in lines)))
+    return rows, want
+
+
+def test_wording_is_learned_from_layout(spark):
+    rows, want = learned_fixture()
+    frame = results(spark, rows).select(F.col("result_id").alias("id"), "url", F.col("preview").alias("text"))
+    for known in (False, True):
+        found = {(r["id"], r["line"]) for r in pb.foreign_pieces(frame, known).collect()}
+        assert len(found & want) >= 0.9 * len(want), known
+        assert len(found & want) >= 0.95 * len(found), known
+        text = {i: t.split("\n") for i, _, _, t in rows}
+        assert not [text[i][k - 1] for i, k in found if text[i][k - 1] in CONTENT], known
+
+
+def test_best_run_stands_between_capitals():
+    weights = {w: 3.0 for w in ("copyright", "^ copyright", "search", "contact", "^ search", "search ·", "· contact", "·", "contact $", "page", "share this", "this page", "share", "this")}
+    assert pb.best_run("Search · Contact", weights) > 5 and pb.best_run("Long words follow here now Share this page", weights) > 5
+    assert pb.best_run("Copyright law changed in 0 after long debate .", weights) < 0.8 * pb.best_run("Copyright", weights)
+
+
+def test_bodies_of_pages(spark, tmp_path):
+    page = "<html><body><nav>Menu</nav><p>The own text of page {i} says a thing or two.</p><p>Zoeken · Contact · Sitemap</p><ul><li>first item</ul><a href=/x>only a link</a></body></html>"
+    rows = [(i, f"http://s{i % 5}.example/{i}", page.replace("{i}", str(i))) for i in range(40)] + [(90, None, None), (91, "http://x.example/", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    bodies = {r["page_id"]: r["body"] for r in pb.p5_page_bodies(spark, str(tmp_path)).collect()}
+    assert len(bodies) == 42 and bodies[90] is None and bodies[91] == ""
+    assert bodies[7] == "The own text of page 7 says a thing or two.\n- first item"
