@@ -21,12 +21,15 @@ Empty lines are no cases. Repeated rows come out once. Cut tags are no text; the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from math import exp, log
 from html.parser import HTMLParser
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from searchlake.operators.skew import heavy_key_hashes, salted_join
@@ -125,7 +128,7 @@ def without_cut_tags(text: str) -> str:
 def render(text: str) -> list[Block]:
     """The visible blocks of a text, which may be a whole page or a cut piece of one."""
     if "<" not in text and "&" not in text:
-        return [Block(i, regex.sub(r"\s+", " ", x), "", "line") for i, x in enumerate(text.split("\n"), 1) if x.strip()]
+        return [Block(i, " ".join(x.split()), "", "line") for i, x in enumerate(text.split("\n"), 1) if x.strip()]
     parser = Renderer()
     try:
         parser.feed(without_cut_tags(text))
@@ -267,9 +270,10 @@ def page_body(text: str) -> str:
 SITE = "\ue000"
 #: Ends of sentences within a line, tokens, and lines that markup or code makes content.
 SENTENCE_END = regex.compile(r"(?<=[.!?…][\")»”]?)\s+(?=[\p{Lu}\d¿¡«“\"©☰])")
-TOKEN = regex.compile(r"\ue000|\p{L}+(?:['’]\p{L}+)*|[|·•»>/©☰↑×–—:;]|\d+|[.!?…]")
-CONTENT = regex.compile(r"^(?:#{1,6}\s|[|!{}]|[*+;:-]+\s*\S|\d+[.)]\s|```|\\|\[\[|\{\{|>\s|={2,}|\.\.\.$)|[={}\\_`\[\]*^]|\w\(|''|^<|<[\s=]|&\w+;")
-ENDED = regex.compile(r"[.!?…][\"”»)]?$")
+MAY_END = re.compile(r"[.!?…][\")»”]?\s")
+TOKEN = re.compile(r"\ue000|[^\W\d_]+(?:['’][^\W\d_]+)*|[|·•»>/©☰↑×–—:;]|\d+|[.!?…]")
+CONTENT = re.compile(r"^(?:#{1,6}\s|[|!{}]|[*+;:-]+\s*\S|\d+[.)]\s|```|\\|\[\[|\{\{|>\s|={2,}|\.\.\.$)|[={}\\_`\[\]*^]|\w\(|''|^<|<[\s=]|&\w+;")
+ENDED = re.compile(r"[.!?…][\"”»)]?$")
 #: Tags that were escaped, or cut at a text's beginning, and are text to a browser.
 TAG_TEXT = regex.compile(r"</?[A-Za-z][^<>\n]*>|</?[A-Za-z]\w*$|^(?:[a-z]{1,12}\d?|[\w-]*=\"?[^\s\"<>=]*\"?)/?>")
 SEPARATORS = frozenset("|·•»>/☰↑×©")
@@ -290,26 +294,19 @@ def rendered_lines(text: str) -> list[list[Block]]:
     return lines
 
 
-def has_known_wording(text: str, sentence: bool) -> bool:
-    """Whether a piece has a known wording; one that goes on in small letters is no evidence against a sentence of some length."""
-    for pattern in FURNITURE.values():
-        if (m := pattern.search(text)) and not (sentence and text[m.end() :].lstrip()[:1].islower()):
-            return True
-    return False
-
-
 def pieces(text: str, label: str | None, known: bool = True) -> list[tuple]:
     """The pieces of a text, as rows of PIECES: `base` is what their own layout says, more for furniture."""
-    name = regex.compile(regex.escape(label), regex.I) if label else None
+    name = re.compile(re.escape(label), re.I) if label else None
     found, code = [], False
     for block, line in enumerate(rendered_lines(text)):
-        visible = TAG_TEXT.sub(" ", "".join(b.text for b in line)).strip()
+        visible = "".join(b.text for b in line)
+        visible = (TAG_TEXT.sub(" ", visible) if "<" in visible or ">" in visible else visible).strip()
         b = line[0]
         link, structure, region = all(x.link for x in line), all(x.structure for x in line), any(x.region for x in line)
         fence = visible.startswith("```")
         code ^= fence
-        for t in SENTENCE_END.split(visible):
-            tokens = ["0" if x[0].isdigit() else x for x in TOKEN.findall(name.sub(SITE, t) if name else t)]
+        for t in SENTENCE_END.split(visible) if MAY_END.search(visible) else (visible,):
+            tokens = ["0" if x[0].isdigit() else x for x in TOKEN.findall(name.sub(SITE, t) if name and label in t.lower() else t)]
             if not any(x[0].isalnum() or x in "©☰" or x == SITE for x in tokens):
                 continue
             content = not region and (fence or code or structure or bool(CONTENT.search(t)))
@@ -319,7 +316,8 @@ def pieces(text: str, label: str | None, known: bool = True) -> list[tuple]:
             base += 1.5 if len(words) > 2 and sum(x[0].isupper() for x in words[1:]) > 0.6 * (len(words) - 1) else 0.0
             base += 1.0 if SITE in tokens else 0.0
             base += 1.5 if link else 0.0
-            hit = known and not content and has_known_wording(t, ended and len(tokens) >= 7)
+            # a known wording is no evidence against a sentence of some length
+            hit = known and not content and not (ended and len(tokens) >= 7) and line_furniture(t) is not None
             found.append([label, b.line, block, False, " ".join(tokens), base, ended, content, region, hit])
     for at in {0, len(found) - 1} if found else ():
         found[at][3] = True
@@ -332,23 +330,35 @@ def _cut(batches: Iterator[pd.DataFrame], known: bool) -> Iterator[pd.DataFrame]
         yield pd.DataFrame([(i, *p) for i, url, text in zip(batch["id"], batch["url"], batch["text"]) if text for p in pieces(text, site_label(url), known)], columns=names)
 
 
-def grams(text: Column) -> Column:
-    """The distinct words and pairs of words of a piece."""
-    words = F.split(F.lower(text), " ")
-    framed = F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
-    pairs = F.transform(F.arrays_zip(F.slice(framed, 1, F.size(framed) - 1).alias("a"), F.slice(framed, 2, F.size(framed) - 1).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))
-    return F.array_distinct(F.concat(words, pairs))
+def _sums(batches: Iterator[pd.DataFrame], weights: dict[str, float] | None, most: int = 300_000) -> Iterator[pd.DataFrame]:
+    """(gram, n, f): in how many pieces each word and pair of words is, and how foreign these seem; "" stands for all pieces.
 
-
-def weigh(scored: DataFrame) -> dict[str, float]:
-    """The log odds of each frequent n-gram, of all pieces (text, n, p) with p being how foreign they seem."""
-    total, foreign = scored.agg(F.sum("n"), F.sum(F.col("n") * F.col("p"))).first()
-    if not total:
-        return {}
-    each = scored.select(F.explode(grams(F.col("text"))).alias("gram"), "n", (F.col("n") * F.col("p")).alias("f"))
-    counts = each.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("f").alias("f")).where(F.col("n") >= max(LEAST, total * LEAST_SHARE))
-    odds = F.log((F.col("f") + 0.3) / (foreign + 1)) - F.log((F.col("n") - F.col("f") + 0.3) / (total - foreign + 1))
-    return {r[0]: r[1] for r in counts.select("gram", odds).collect()}  # at most 1 / LEAST_SHARE times a piece's n-grams
+    Without weights a piece's layout says how foreign it seems, with them its score.
+    """
+    sums: dict[str, list[float]] = {}
+    for batch in batches:
+        for text, n, seed, content in zip(batch["text"], batch["n"], batch["seed"], batch["content"]):
+            x = seed if weights is None or content else score(text, seed, weights) - 1.0
+            f = 0.0 if content or x < -30 else n / (1.0 + exp(-x))
+            words = text.lower().split(" ")
+            for g in {"", *words, *map(" ".join, zip(["^", *words], [*words, "$"]))}:
+                if g in sums:
+                    sums[g][0] += n
+                    sums[g][1] += f
+                else:
+                    sums[g] = [n, f]
+        if len(sums) > most:
+            yield pd.DataFrame([(g, *v) for g, v in sums.items()], columns=["gram", "n", "f"])
+            sums = {}
+    yield pd.DataFrame([(g, *v) for g, v in sums.items()], columns=["gram", "n", "f"])
+
+
+def weigh(alike: DataFrame, total: int, weights: Broadcast | None = None) -> dict[str, float]:
+    """The log odds of each frequent n-gram, by how foreign the pieces that hold it seem."""
+    counts = alike.mapInPandas(lambda b: _sums(b, weights and weights.value), "gram string, n double, f double").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
+    found = {r[0]: (r[1], r[2]) for r in counts.where(F.col("n") >= max(LEAST, total * LEAST_SHARE)).collect()}  # at most 1 / LEAST_SHARE times a piece's n-grams
+    n_all, foreign = found.pop("", (total, 0.0))
+    return {g: log((f + 0.3) / (foreign + 1)) - log((n - f + 0.3) / (n_all - foreign + 1)) for g, (n, f) in found.items()}
 
 
 def best_run(text: str, weights: dict[str, float]) -> float:
@@ -369,10 +379,15 @@ def best_run(text: str, weights: dict[str, float]) -> float:
     return best
 
 
-def _score(batches: Iterator[pd.DataFrame], weights: dict[str, float]) -> Iterator[pd.DataFrame]:
+def score(text: str, seed: float, weights: dict[str, float]) -> float:
+    """How foreign a piece is by its best run of words and its layout."""
+    return best_run(text, weights) + 0.5 * seed - 2.0
+
+
+def _judge(batches: Iterator[pd.DataFrame], weights: dict[str, float]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        runs = [0.0 if c else best_run(t, weights) for t, c in zip(batch["text"], batch["content"])]
-        yield batch.assign(score=runs + 0.5 * batch["seed"] - 2.0)
+        values = zip(batch["text"], batch["seed"], batch["content"], batch["region"], batch["known"])
+        yield batch[[not c and (r or score(t, x, weights) + 6.0 * k > FOREIGN) for t, x, c, r, k in values]]
 
 
 def foreign_pieces(texts: DataFrame, known: bool = True) -> DataFrame:
@@ -384,21 +399,16 @@ def foreign_pieces(texts: DataFrame, known: bool = True) -> DataFrame:
     kind = dict(texts.dtypes)["id"]
     cut = materialize(spread(texts).mapInPandas(lambda b: _cut(b, known), f"id {kind}, {PIECES}"), "pieces")
     layout_of = ["text", "base", "ended", "content", "region", "known"]
-    sites = cut.where("NOT content").groupBy(*layout_of, "site").agg(F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("edges"))
+    sites = cut.groupBy(*layout_of, "site").agg(F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("edges"))
     alike = sites.groupBy(*layout_of).agg(F.sum("n").alias("n"), F.sum("edges").alias("edges"), F.count(F.lit(1)).alias("sites"))
     spreading = F.least(F.log2("sites"), F.lit(4.0)) * F.when(F.col("ended"), 0.3).otherwise(1.0) - F.when(F.col("sites") == 1, 0.5).otherwise(0.0)
     seed = F.when(F.col("region"), 6.0).otherwise(F.col("base") + spreading + F.col("edges") / F.col("n") - 0.6 + F.when(F.col("known"), 4.0).otherwise(0.0))
-    alike = materialize(alike.withColumn("seed", seed), "alike")
-    # content by structure has none of the furniture's wording
-    own = cut.where("content").groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("p", F.lit(0.0))
-    logistic = lambda c: F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
+    alike = materialize(alike.select("text", "ended", "content", "region", "known", "n", seed.alias("seed")), "alike")
+    total = alike.agg(F.sum("n")).first()[0] or 0
     context = texts.sparkSession.sparkContext
-    first = context.broadcast(weigh(alike.select("text", "n", logistic(F.col("seed")).alias("p")).unionByName(own)))
-    schema = f"{', '.join(f'{c} {t}' for c, t in alike.dtypes)}, score double"
-    scored = alike.mapInPandas(lambda b: _score(b, first.value), schema)
-    second = context.broadcast(weigh(scored.select("text", "n", logistic(F.col("score") - 1.0).alias("p")).unionByName(own)))
-    wording = F.when(F.col("known"), 6.0).otherwise(0.0)
-    foreign = alike.mapInPandas(lambda b: _score(b, second.value), schema).where(F.col("region") | (F.col("score") + wording > FOREIGN)).select("text", "ended", "region", "known").distinct()
+    weights = context.broadcast(weigh(alike, total))
+    weights = context.broadcast(weigh(alike, total, weights))
+    foreign = alike.mapInPandas(lambda b: _judge(b, weights.value), alike.schema).select("text", "ended", "region", "known").distinct()
     keys = ["text", "ended", "region", "known"]
     candidates = cut.where("NOT content").select("id", "line", "block", *keys)
     found = salted_join(candidates, foreign, keys, ["id", "line"], heavy_key_hashes(candidates, keys, 0.01), how="left_semi")
