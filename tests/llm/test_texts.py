@@ -87,6 +87,40 @@ def test_edited_copies_are_aligned(spark, tmp_path):
     assert (1, 7, 56) in {tuple(r)[:3] for r in lp.p9_alignments(spark, str(tmp_path)).collect()}
 
 
+def test_recall_of_edited_copies(spark):
+    random.seed(13)
+    words = [f"{a}{b}" for a in "ka lo mi nu re sa ti vo".split() for b in "bar del fin gos hum".split()]
+    passages = [[random.choice(words) for _ in range(60)] for _ in range(40)]
+
+    def edited(p, how):
+        out = []
+        for w in p:
+            if random.random() >= 1 / 8:
+                out.append(w)
+            elif how == "replaced":
+                out.append("zzz")
+            elif how == "inserted":
+                out += [w, "zzz"]
+        return out
+
+    docs = [(f"{how} {i}", " ".join(["intro"] * 5 + edited(p, how))) for how in ("replaced", "inserted", "deleted") for i, p in enumerate(passages)]
+    frame = spark.createDataFrame(docs, "doc_id string, text string")
+    found = {(r["doc_id"], r["item_id"]): r["share"] for r in lp.aligned_leaks(frame, spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, passage string"), edited=True).collect()}
+    for how in ("replaced", "inserted", "deleted"):
+        hits = [i for i in range(40) if found.get((f"{how} {i}", i), 0) > 0.5]
+        assert len(hits) >= 36, how
+    # a plain alignment of one pair, cell by cell
+    text, p = dict(docs)["replaced 3"].split(), passages[3]
+    rows, best = [[0] * (len(p) + 1)], 0
+    for w in text:
+        row = [0]
+        for j, v in enumerate(p):
+            row.append(max(0, rows[-1][j] + (2 if v == w else -1), rows[-1][j + 1] - 1, row[j] - 1))
+        rows.append(row)
+        best = max(best, *row)
+    assert found["replaced 3", 3] == pytest.approx(best / (2 * len(p)))
+
+
 def test_alignments_in_groups():
     random.seed(9)
     pairs = [(np.array(random.choices(range(-1, 5), k=random.randint(0, 40))), np.array(random.choices(range(5), k=random.randint(1, 20)))) for _ in range(60)]
