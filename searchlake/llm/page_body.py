@@ -53,6 +53,8 @@ CLOSED_BY = {
     "tr": {"tr", "tbody", "thead", "tfoot"},
     "option": {"option"},
 }
+SPACES = re.compile(r"\s+")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 REGION_NAME = regex.compile(r"(?<![a-z])(?:nav|navbar|navigation|menu|foot|footer|sidebar|aside|breadcrumbs?|cookie|cookies|consent|banner|ads?|advert|promo|share|social|comments?|related|newsletter|legal)(?![a-z])", regex.I)
 
 #: The part of a tag before a line's end, and a tag of several lines: a bare attribute is on the line of what comes before it, a value in quotes may have more lines.
@@ -89,7 +91,7 @@ class Renderer(HTMLParser):
                 self.mark = "row"
         if tag in VOID:
             return
-        hidden = tag in HIDDEN or "hidden" in at or bool(regex.search(r"display\s*:\s*none|visibility\s*:\s*hidden", at.get("style", ""), regex.I))
+        hidden = tag in HIDDEN or "hidden" in at or bool("style" in at and UNSEEN.search(at["style"]))
         named = REGION_NAME.search(at.get("id", "") + " " + at.get("class", "") + " " + at.get("role", "")) if tag in BLOCKS else None
         above = self.open[-1] if self.open else ("", False, "")
         region = tag if tag in REGIONS else named[0].lower() if named else above[2]
@@ -111,7 +113,7 @@ class Renderer(HTMLParser):
             if k:
                 self.mark = self.mark or "line"
             if not hidden and text.strip():
-                self.blocks.append(Block(line + k, text if pre else regex.sub(r"\s+", " ", text), region, self.mark, link, bool(names & STRUCTURE)))
+                self.blocks.append(Block(line + k, text if pre else SPACES.sub(" ", text), region, self.mark, link, bool(names & STRUCTURE)))
                 self.mark = ""
             elif not hidden and text and not self.mark and k == 0 and self.blocks:
                 self.blocks[-1].text += " "
@@ -216,9 +218,13 @@ _SITE = r"\p{Lu}\p{L}+\s(?:Review|Hub|Wiki|Online|Atlas|Gazette|Labs|Museum|Foru
 _EDGE = r"\s*(?:\||·|•|–|—|-|::|:|«|»|@|/|>|,)\s*"
 
 
+HOST = re.compile(r"[a-z]+://([^/:?#]+)")
+ODD_SIGNS = re.compile(r"[\s​\"<(]")
+
+
 def site_label(url: str | None) -> str | None:
     """The name in a url's host before its last part, in lower case."""
-    m = regex.match(r"[a-z]+://([^/:?#]+)", regex.sub(r"[\s​\"<(]", "", url or "").lower())
+    m = HOST.match(ODD_SIGNS.sub("", url or "").lower())
     parts = m[1].split(".") if m else []
     return parts[-2] if len(parts) >= 2 else None
 
@@ -306,14 +312,24 @@ def pieces(text: str, label: str | None, known: bool = True) -> list[tuple]:
         fence = visible.startswith("```")
         code ^= fence
         for t in SENTENCE_END.split(visible) if MAY_END.search(visible) else (visible,):
-            tokens = ["0" if x[0].isdigit() else x for x in TOKEN.findall(name.sub(SITE, t) if name and label in t.lower() else t)]
-            if not any(x[0].isalnum() or x in "©☰" or x == SITE for x in tokens):
+            tokens, words, capitals, separators, any_text = [], 0, 0, 0, False
+            for x in TOKEN.findall(name.sub(SITE, t) if name and label in t.lower() else t):
+                c = x[0]
+                if c.isalpha() or x == SITE:
+                    capitals += words > 0 and c.isupper()
+                    words += 1
+                elif c.isdigit():
+                    x, any_text = "0", True
+                elif x in SEPARATORS:
+                    separators += 1
+                    any_text = any_text or x in "©☰"
+                tokens.append(x)
+            if not words and not any_text:
                 continue
             content = not region and (fence or code or structure or bool(CONTENT.search(t)))
-            words = [x for x in tokens if x[0].isalpha() or x == SITE]
             ended = bool(ENDED.search(t))
-            base = (-3.0 if ended else 1.2) + 1.2 * min(3, sum(x in SEPARATORS for x in tokens)) + (1.0 if len(words) <= 5 else 0.0 if len(words) < 10 else -1.0)
-            base += 1.5 if len(words) > 2 and sum(x[0].isupper() for x in words[1:]) > 0.6 * (len(words) - 1) else 0.0
+            base = (-3.0 if ended else 1.2) + 1.2 * min(3, separators) + (1.0 if words <= 5 else 0.0 if words < 10 else -1.0)
+            base += 1.5 if words > 2 and capitals > 0.6 * (words - 1) else 0.0
             base += 1.0 if SITE in tokens else 0.0
             base += 1.5 if link else 0.0
             # a known wording is no evidence against a sentence of some length
