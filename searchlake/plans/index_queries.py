@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,22 +19,28 @@ def pages_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Indexes that were built for a table as it is, by session and table: searches read them from the shared folder.
-_stores: dict[tuple[str, str, bool], str] = {}
+_stores: dict[tuple[str, str, str], str] = {}
 BUCKETS = 32
 
 
-def stored(spark: SparkSession, folder: str, stems: bool = False) -> str:
-    """The path of the stored index of the pages of a folder; it is built at the first call of a session."""
-    key = (spark.sparkContext.applicationId, table_version(spark, folder, "pages"), stems)
+def kept(spark: SparkSession, folder: str, tables: tuple[str, ...], what: str, last: str, build: Callable[[str], None]) -> str:
+    """The path of something made of tables as they are; it is built at the first call of a session, `last` being written last."""
+    key = (spark.sparkContext.applicationId, " ".join(table_version(spark, folder, t) for t in tables), what)
     path = _stores.get(key)
-    if path is None or not path_exists(spark, f"{path}/terms/_SUCCESS"):
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        ix.build_in_buckets(spark, pages_of(spark, folder), path, url_buckets=1, buckets=BUCKETS, stems=stems)
+    if path is None or not path_exists(spark, f"{path}{last}/_SUCCESS"):
+        path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+        build(path)
         _stores[key] = path
         drop_at_exit(path)
     return path
 
 
+def stored(spark: SparkSession, folder: str, stems: bool = False) -> str:
+    """The path of the stored index of the pages of a folder."""
+    build = lambda path: ix.build_in_buckets(spark, pages_of(spark, folder), path, url_buckets=1, buckets=BUCKETS, stems=stems)
+    return kept(spark, folder, ("pages",), "stems" if stems else "index", "/terms", build)
+
+
 def index_of(spark: SparkSession, folder: str, terms: list[str] | None = None, stems: bool = False) -> ix.Index:
     """The stored index, or the part of it that holds some terms."""
     return ix.read_index(spark, stored(spark, folder, stems), terms, BUCKETS)

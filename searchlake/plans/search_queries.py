@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from searchlake.functions import text, url as urls
 from searchlake.operators import index as ix, pagerank as pr, search as se
-from searchlake.plans.index_queries import DOCS, VISIBLE_SQL, WHOLE, index_of, pages_of
+from searchlake.plans.index_queries import DOCS, VISIBLE_SQL, WHOLE, index_of, kept, pages_of
 from searchlake.operators.crawl import CheckpointPolicy
 from searchlake.session import scratch_path, table
 
@@ -24,6 +24,12 @@ def _ranks(spark: SparkSession, folder: str) -> DataFrame:
     return pr.iterate(links, nodes, ITERATIONS)
 
 
+def stored_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranks that were made and stored apart, as searches read them."""
+    build = lambda path: _ranks(spark, folder).select("id", "rank").write.parquet(path)
+    return spark.read.parquet(kept(spark, folder, ("edges", "pages"), "ranks", "", build))
+
+
 def _index(spark: SparkSession, folder: str, query: str | None = None) -> ix.Index:
     """The stored index, or what of it the terms of a query need."""
     return index_of(spark, folder, None if query is None else text.query_terms(query))
@@ -115,7 +121,7 @@ def search_title_boost(spark, folder):
 
 
 def search_ranked(spark, folder):
-    found = se.search(_index(spark, folder, TWO), TWO, _ranks(spark, folder))
+    found = se.search(_index(spark, folder, TWO), TWO, stored_ranks(spark, folder))
     return found.select("url", *[F.round(c, 6).alias(c) for c in ("total_score", "tfidf_score", "page_rank_score")], "title")
 
 
