@@ -95,6 +95,40 @@ def test_pagerank(spark):
     assert again.iterations == 1
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_a_job_runs_several_iterations(spark, monkeypatch, most):
+    """The same ranks and number of iterations as one at a time, with far fewer jobs than iterations; in one task and over all."""
+    edges = [(f"p{i}", f"p{i * i % 40}") for i in range(60)] + [(f"p{i}", f"p{(i + 1) % 60}") for i in range(60)] + [("p3", "p4"), ("p3", "out"), ("gone", "p1"), (None, "p1"), ("p1", None)]
+    frame, nodes = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(f"p{i}",) for i in range(60)] + [("alone",), (None,), ("p1",)], "id string")
+    links = [(s, d) for s, d in set(edges) if s and d]
+    known, ranks, n, settled_at = {f"p{i}" for i in range(60)} | {"alone"}, {}, 0, {}
+    ranks = dict.fromkeys(known, 1.0)
+    while 0.001 not in settled_at:
+        sums = dict.fromkeys(known, 0.0)
+        for s, d in links:
+            if s in known and d in known:
+                sums[d] += 0.85 / sum(x == s for x, _ in links) * ranks[s]
+        after = {i: c + 0.15 for i, c in sums.items()}
+        diffs = [abs(after[i] - ranks[i]) for i in known]
+        n, ranks = n + 1, after
+        if max(diffs) < 0.001:
+            settled_at[0.001] = n
+        if sum(d <= 0.001 for d in diffs) >= 0.5 * len(known):
+            settled_at.setdefault("half", n)
+    writes, real = [], pr.materialize
+    monkeypatch.setattr(pr, "ONE_TASK", most)
+    monkeypatch.setattr(pr, "materialize", lambda df, label="stage": writes.append(label) or real(df, label))
+    done = pr.pagerank(frame, nodes)
+    assert {r["id"]: round(r["rank"], 9) for r in done.ranks.collect()} == {i: round(r, 9) for i, r in ranks.items()}
+    assert done.iterations == n > 20 and done.percent == 100.0 and 0 < done.max_diff < 0.001
+    assert writes.count("ranks") <= 1 + n // 10
+    assert pr.pagerank(frame, nodes, percent=50.0).iterations == settled_at["half"] < n
+    with pytest.raises(RuntimeError):
+        pr.pagerank(frame, nodes, max_iterations=n - 1)
+    assert pr.pagerank(frame, nodes, max_iterations=n).iterations == n
+    assert pr.pagerank(frame.limit(0)).ranks.count() == 0
+
+
 def test_link_edges(spark, rows):
     pages = spark.createDataFrame([("http://a.com/x/", '<a href="/y">y</a><a href=/y#f>y</a><a href="z/../w">w</a><a href="b.png">p</a>')], "url string, html string")
     assert rows(pr.link_edges(pages)) == [("http://a.com:80/x/", "http://a.com:80/x/w"), ("http://a.com:80/x/", "http://a.com:80/y")]
