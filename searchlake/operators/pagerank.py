@@ -19,7 +19,7 @@ from searchlake.functions import url as urls
 from searchlake.operators.index import documents
 from searchlake.operators.crawl import CheckpointPolicy
 from searchlake.operators.skew import heavy_key_hashes, salted_join
-from searchlake.session import discard, materialize, path_exists, spread
+from searchlake.session import discard, materialize, path_exists, spread, write_lines
 
 DAMPING = 0.85
 
@@ -236,7 +236,7 @@ def by_source(links: DataFrame) -> DataFrame:
 def save_checkpoint(state: DataFrame, path: str, about: dict) -> None:
     """Ranks of an iteration, and last the row that describes them."""
     state.select("id", "rank").write.mode("overwrite").parquet(f"{path}/iteration={about['iteration']}/ranks")
-    state.sparkSession.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/iteration={about['iteration']}/about")
+    write_lines(state.sparkSession, f"{path}/iteration={about['iteration']}/about", [json.dumps(about)])
 
 
 def last_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, dict] | None:

@@ -130,6 +130,16 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(per_core * cores)
 
 
+def write_lines(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """A folder of one text file with a few lines, as a job would leave it; the driver writes it by itself."""
+    files, at = _at(spark, path)
+    files.delete(at, True)
+    for name, text in (("part-00000.txt", "".join(f"{x}\n" for x in lines)), ("_SUCCESS", "")):
+        out = files.create(_at(spark, f"{path}/{name}")[1])
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
 def save_path_of(spark: SparkSession, label: str, lines: list[str]) -> str:
     """A path in the shared folder with the given lines of text."""
     path = scratch_path(spark, label)
